@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .simhash import near_groups
 from .token_files import round_trip
 
 
@@ -27,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -40,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op4_token_files": op4_token_files,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_simhash": op9_simhash,
     }
 
 
