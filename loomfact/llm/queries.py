@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .secrets import scan
+from .sharding import LIMIT_BYTES, shards
 from .simhash import near_groups
 from .token_files import round_trip
 
@@ -19,6 +21,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = f"""
+WITH h AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+         lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(1) || md5(coalesce(text, ''))), 1, 12))::BIGINT), 48, '0') AS bits
+  FROM documents),
+k AS (SELECT h.*, substr(bits, 1, d) AS prefix, d FROM h CROSS JOIN generate_series(0, 40) AS g(d)),
+s AS (SELECT d, prefix, sum(n_bytes) AS b, count(*) AS n FROM k GROUP BY d, prefix),
+l AS (SELECT k.doc_id, min(s.d) AS depth FROM k JOIN s USING (d, prefix) WHERE s.b <= {LIMIT_BYTES} OR s.n = 1 GROUP BY k.doc_id)
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, n_bytes > {LIMIT_BYTES} AS oversize FROM h JOIN l USING (doc_id)
+"""
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = round_trip(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -43,6 +65,8 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op3_secrets": op3_secrets,
         "op4_token_files": op4_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_simhash": op9_simhash,
@@ -51,5 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_sharding": OP2_SQL,
         "op6_exact_dedup": OP6_SQL,
     }
