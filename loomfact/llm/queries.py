@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .quality import graded
 from .secrets import scan
 from .sharding import LIMIT_BYTES, shards
 from .simhash import near_groups
@@ -54,6 +55,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_simhash": op9_simhash,
+        "op10_quality": op10_quality,
     }
 
 
