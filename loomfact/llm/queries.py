@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import linked
 from .exact_dedup import exact_groups
 from .packing import pack
 from .quality import graded
@@ -47,6 +48,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_secrets": op3_secrets,
         "op4_token_files": op4_token_files,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
