@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,13 @@ SLICE_BYTES = 4 << 20
 WHOLE_FROM = 1 << 62
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of the array's texts of about SLICE_BYTES each, with their first position."""
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)) if len(texts) else np.empty(0)
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of the array's texts of about SLICE_BYTES each, with their first positions."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
     cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)], strict=True):
         if b > a:
-            yield a, texts.slice(a, b - a).to_pylist()
+            yield a, texts.slice(a, b - a)
 
 
 @lru_cache(maxsize=8192)
@@ -59,19 +60,19 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
     """doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit) of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+        lib = tokenizer(path)
         for b in batches:
             for at, texts in slices(b.column("text")):
-                ids = [x + end for x in encode(texts)]
-                size = np.array([len(x) // 4 for x in ids], np.int64)
+                flat, size = lib.encode(texts)
+                flat, size = np.insert(flat, np.cumsum(size), end_id), size + 1
                 lengths = [[capacity] * (n // capacity) + tail_cuts(n % capacity, capacity) for n in size.tolist()]
-                row = np.repeat(np.arange(len(ids)), [len(x) for x in lengths])
+                row = np.repeat(np.arange(len(size)), [len(x) for x in lengths])
                 length = np.array([y for x in lengths for y in x], np.int64)
                 ends = np.cumsum(length)
                 start = ends - length - (np.cumsum(size) - size)[row]
                 cuts = np.concatenate([[0], ends * 4]).astype(np.int32)
-                own = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(b"".join(ids))])
-                cols = [b.column("doc_id").slice(at, len(ids)).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(size[row]), own]
+                own = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                cols = [b.column("doc_id").slice(at, len(size)).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(size[row]), own]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -36,14 +36,15 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned, 16 bits each if the vocabulary allows it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
-        kind = "<u2" if max(len(encode.is_end), end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
+        lib = tokenizer(path)
+        kind = np.dtype("<u2" if max(len(lib.is_end), end_id + 1) <= 1 << 16 else "<u4")
         for b in batches:
             for at, texts in slices(b.column("text")):
-                ids = [np.frombuffer(x + end, "<u4") for x in encode(texts)]
-                cols = [b.column("doc_id").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64())]
-                cols += [pa.array([np.dtype(kind).itemsize] * len(ids), pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())]
+                flat, size = lib.encode(texts)
+                flat, size = np.insert(flat, np.cumsum(size), end_id).astype(kind), size + 1
+                cuts = np.concatenate([[0], np.cumsum(size) * kind.itemsize]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                cols = [b.column("doc_id").slice(at, len(size)), pa.array(size), pa.array(np.full(len(size), kind.itemsize, np.int32)), ids]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "width", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
