@@ -11,11 +11,13 @@ from .common import table
 from .embedding_dedup import linked
 from .exact_dedup import exact_groups
 from .packing import pack
+from .pieces import decode, encode
 from .quality import graded
 from .secrets import scan
 from .sharding import LIMIT_BYTES, shards
 from .simhash import near_groups
 from .token_files import round_trip
+from .tool_calls import linked as linked_calls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linked_calls(table(spark, sf_dir, "conversations"))
+    return rows.fillna({"call_id": "", "level": 0, "linked": False, "error": ""})
+
+
+#: For conversations without tool calls, as those of the table are.
+OP7_SQL = """
+SELECT conv_id, turn, role, 'message' AS kind, 0::BIGINT AS pos, '' AS call_id, 0::BIGINT AS level, false AS linked,
+       '' AS error, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
+FROM conversations
+"""
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = decode(encode(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -80,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_tool_calls": op7_tool_calls,
+        "op8_pieces": op8_pieces,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
     }
@@ -89,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": OP2_SQL,
         "op6_exact_dedup": OP6_SQL,
+        "op7_tool_calls": OP7_SQL,
     }
