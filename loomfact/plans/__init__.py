@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("storage", "sequences", "graphs")
+AREAS = ("storage", "sequences", "graphs", "texts")
 
 
 def load() -> None:
