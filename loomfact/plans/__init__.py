@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("storage", "sequences", "graphs", "texts")
+AREAS = ("storage", "sequences", "graphs", "texts", "numeric")
 
 
 def load() -> None:
