@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("storage", "sequences", "graphs", "texts", "numeric")
+AREAS = ("storage", "sequences", "graphs", "texts", "numeric", "views")
 
 
 def load() -> None:
