@@ -99,7 +99,7 @@ def distance_km(text: Column, day_km: float = 40.0, li_km: float = 0.5, most: fl
         .when(F.contains(text, F.lit("远")), F.lit(most / 2))
         .when(F.contains(text, F.lit("近")), F.lit(5.0))
     )
-    return F.least(value, F.lit(most))
+    return F.when(value.isNotNull(), F.least(value, F.lit(most)))
 
 
 def range_key(start: Column, end: Column, width: Column, height: Column) -> Column:

@@ -110,6 +110,7 @@ def _branching(incoming: dict, root: object, level: int) -> set[tuple[str, str]]
         return {incoming[c][p][1] for c, p in best.items()}
     name = ("cycle", level, len(incoming))
     merged: dict[object, dict] = defaultdict(dict)
+    into: dict[tuple[str, str], object] = {}  # the cycle's node that an edge from outside enters
     for c, ps in incoming.items():
         for p, (w, e) in ps.items():
             a, b = (name if c in cycle else c), (name if p in cycle else p)
@@ -119,11 +120,12 @@ def _branching(incoming: dict, root: object, level: int) -> set[tuple[str, str]]
                 w -= incoming[c][best[c]][0]
             if b not in merged[a] or merged[a][b][0] < w:
                 merged[a][b] = (w, e)
+            if a == name:
+                into[e] = c
     found = _branching(dict(merged), root, level + 1)
-    entered = {c for c, _ in found}
     #  Inside the cycle all edges stay but the one into the node that is entered from outside.
-    inside = {incoming[c][best[c]][1] for c in cycle}
-    return found | {e for e in inside if e[0] not in entered}
+    entered = {into[e] for _, e in merged[name].values() if e in found}
+    return found | {incoming[c][best[c]][1] for c in cycle if c not in entered}
 
 
 def _cycle(best: dict) -> set:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Heading patterns by name, whole lines; white space is Unicode's.
 MODES = {
     "chapter_cn": r"(?U)^\s*第\s*[0-9零一二两三四五六七八九十百千]+\s*[章回节].{0,40}$",
@@ -57,7 +59,7 @@ def split_at(books: DataFrame, key: str, text: str, heading: Column, prologue: i
     lines = _lines(books, key, text, *more).withColumn("head", heading).withColumn("section", F.sum(F.col("head").cast("int")).over(w))
     parts = lines.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "head"))).alias("ls"))
     body = F.array_join(F.transform(F.filter("ls", lambda x: ~x["head"]), lambda x: x["line"]), "\n")
-    title = F.get(F.transform(F.filter("ls", lambda x: x["head"]), lambda x: F.trim(x["line"])), F.lit(0))
+    title = F.get(F.transform(F.filter("ls", lambda x: x["head"]), lambda x: strip(x["line"])), F.lit(0))
     parts = parts.select(key, "section", F.coalesce(title, F.lit("")).alias("title"), body.alias("content"))
     kept = parts.where((F.char_length(F.trim("content")) > 0) & ((F.col("section") > 0) | (F.char_length("content") >= prologue)))
     return kept.select(key, F.row_number().over(W.partitionBy(key).orderBy("section")).cast("long").alias("chapter"), "title", "content")

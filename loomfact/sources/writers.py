@@ -28,11 +28,11 @@ def markdown(df: DataFrame, key: str, order: str, heading: str, body: str) -> Da
 
 def exported(novels: DataFrame, key: str, **tables: DataFrame) -> DataFrame:
     """(key, doc): one JSON document a novel with an array for each table, rows in the order of their columns."""
-    out = novels.select(key, F.struct(*novels.columns).alias("novel"))
+    out = novels.select(key, F.struct(*novels.columns).alias("__novel"))
     for name, t in tables.items():
         rows = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(c for c in t.columns if c != key)))).alias(name))
         out = out.join(rows, key, "left")
-    return out.select(key, F.to_json(F.struct("novel", *tables)).alias("doc"))
+    return out.select(key, F.to_json(F.struct(F.col("__novel").alias("novel"), *tables)).alias("doc"))
 
 
 def imported(docs: DataFrame, doc: str, name: str, schema: str, key: str) -> DataFrame:
