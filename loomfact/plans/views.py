@@ -151,11 +151,12 @@ def transitive_directions(t: Tables) -> DataFrame:
 
 @query(
     "dominant_relations",
-    f"""WITH {FACTS}, n AS (SELECT person, place % 50 AS other, role, count(*) AS n, min(pos) AS seen FROM f GROUP BY ALL)
+    f"""WITH {FACTS}, n AS (SELECT person, place % 50 AS other, role, count(*) AS n, min(chapter * 1000000000 + pos) AS seen FROM f GROUP BY ALL)
 SELECT person, other, role, n, sum(n) OVER (PARTITION BY person, other)::BIGINT AS mentions FROM n QUALIFY row_number() OVER (PARTITION BY person, other ORDER BY (role = 'R' AND n >= 3) DESC, n DESC, seen) = 1""",
 )
 def dominant_relations(t: Tables) -> DataFrame:
-    return pf.dominant_relations(facts(t).withColumn("other", F.col("place") % 50), ["person", "other"], "role", "pos", ("R",))
+    f = facts(t).withColumn("other", F.col("place") % 50).withColumn("order", F.col("chapter") * 1000000000 + F.col("pos"))
+    return pf.dominant_relations(f, ["person", "other"], "role", "order", ("R",))
 
 
 @query("category_stats", f"WITH {FACTS} SELECT 'person' AS kind, count(DISTINCT person) AS n FROM f UNION ALL SELECT 'place', count(DISTINCT place) FROM f UNION ALL SELECT 'role/' || role, count(DISTINCT place) FROM f GROUP BY role")
