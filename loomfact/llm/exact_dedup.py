@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, maybe_broadcast, written
+from .common import ASCII_SPACE, maybe_broadcast, trimmed, written
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _normal(F.col("text")).alias("norm"))
     base = base.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
-    return base.mapInArrow(run, "doc_id long, text_sha256 string, n_bytes long, f1 long, f2 long")
+    return base.mapInArrow(trimmed(run), "doc_id long, text_sha256 string, n_bytes long, f1 long, f2 long")
 
 
 def chunk_rows(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
@@ -119,7 +119,7 @@ def chunk_rows(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["n_bytes", "f1", "f2", "piece", "chunk"])
 
     base = docs.select(_normal(F.col("text")).alias("norm"))
-    return base.mapInArrow(run, "n_bytes long, f1 long, f2 long, piece long, chunk binary")
+    return base.mapInArrow(trimmed(run), "n_bytes long, f1 long, f2 long, piece long, chunk binary")
 
 
 def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:

@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 from .tokens import tokenizer, vocabulary
 
 CAPACITY = 2048
 #: Parts of tails that one group of differencing holds on average.
 GROUP_PARTS = 3600
 #: Bytes of text that are tokenised in one go.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Whole pieces' window numbers start here; groups' numbers stay below.
 WHOLE_FROM = 1 << 62
 
@@ -76,7 +76,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return base.mapInArrow(trimmed(run), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:

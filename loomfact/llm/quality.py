@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 18
 GRADES = 3
@@ -44,7 +46,7 @@ SHARE = 20.0
 #: Letters of a word's beginning, which is a feature too.
 START = 5
 #: Words whose buckets a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 
 
 class Features:
@@ -167,7 +169,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Ord
     chosen = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rated = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # ``sample`` rows at most
-    rows = rated.mapInArrow(run, "doc_id long, grade int, idx array<int>, val array<float>")
+    rows = rated.mapInArrow(trimmed(run), "doc_id long, grade int, idx array<int>, val array<float>")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("idx", "val")).limit(sample).toArrow()
     if not len(rows):
         return Ordinal(np.zeros(BUCKETS), np.full(GRADES - 1, -50.0))
@@ -188,7 +190,7 @@ def _scores(docs: DataFrame, model: Ordinal, id_col: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     base = docs.select(id_col.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double")
+    return base.mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def graded(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -219,4 +221,4 @@ def selected(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, s
                 stay.append(float(w[idx] @ val) >= cut)
             yield b.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, trimmed, written
 from .components import connected_components
 
 SEED = 42
@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(f, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, fp long")
+    return base.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -152,7 +152,7 @@ def fuzzy_keys(nodes: DataFrame) -> DataFrame:
                 row, col = np.nonzero(decoded >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key[row, col]), pa.array(fp[row])], names=["key", "fp"])
 
-    return nodes.mapInArrow(run, "key long, fp long")
+    return nodes.mapInArrow(trimmed(run), "key long, fp long")
 
 
 def third_keys(rows: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def third_keys(rows: DataFrame) -> DataFrame:
             row, col = np.nonzero(decoded >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(decoded[row, col]), pa.array(fp[row])], names=["key", "more", "fp"])
 
-    return rows.select("key", "fp").mapInArrow(run, "key long, more long, fp long")
+    return rows.select("key", "fp").mapInArrow(trimmed(run), "key long, more long, fp long")
 
 
 def _differing(a: Column, b: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shared_dir, written
+from .common import maybe_broadcast, shared_dir, trimmed, written
 from .packing import slices
 from .rans import BITS, Coder, quantised
 from .tokens import tokenizer, vocabulary
@@ -48,7 +48,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "width", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return base.mapInArrow(trimmed(run), "doc_id long, n_tokens long, width int, ids binary")
 
 
 def _joined(b: pa.RecordBatch) -> np.ndarray:
@@ -71,7 +71,7 @@ def symbol_counts(tokens: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["symbol", "n"])
 
-    rows = tokens.select("width", "ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("width", "ids").mapInArrow(trimmed(run), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.symbol for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r.symbol] = r.n
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     tie = F.xxhash64("ids")  # rows that repeat a doc_id spread over files as well
     ordered = tokens.withColumn("tie", tie).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered = ordered.select("doc_id", "n_tokens", "width", "ids", F.spark_partition_id().alias("file_no"))
-    ordered.mapInArrow(run, _BLOCK_FIELDS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(trimmed(run), _BLOCK_FIELDS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def _schema() -> pa.Schema:
@@ -156,7 +156,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["file_start"] + r["file_offset"] + ends - sizes), pa.array(sizes), raw]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(maybe_broadcast(files), "file_no").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(maybe_broadcast(files), "file_no").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:

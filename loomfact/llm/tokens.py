@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Letters of words that a worker's tables hold at most.
-TABLE_LETTERS = 300_000
+TABLE_LETTERS = 200_000
 #: New words that go through the library as one text.
 JOINED = 512
 #: Letters below this have one lower-case form, are composed and were letters in every version of Unicode in use.
