@@ -62,20 +62,12 @@ def graph_filtered(t: Tables) -> DataFrame:
 
 
 def _sparse(t: Tables) -> DataFrame:
-    """A sparse graph of customers: ties between customers of orders that follow each other in price."""
+    """A graph of customers: each order ties its customer to the one that its number points at."""
     a, b = F.col("o_custkey"), F.col("o_orderkey") % 1500 + 1
-    return t.orders.where("o_orderkey % 9 = 0").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    return t.orders.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-_SPARSE = "s AS (SELECT DISTINCT least(o_custkey, o_orderkey % 1500 + 1) AS a, greatest(o_custkey, o_orderkey % 1500 + 1) AS b FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey <> o_orderkey % 1500 + 1)"
-
-
-@query(
-    "person_components",
-    f"""WITH RECURSIVE {_SPARSE}, e AS (SELECT a AS u, b AS v FROM s UNION SELECT b, a FROM s),
-r(node, other) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.other = e.u)
-SELECT node, min(other) AS component FROM r GROUP BY node""",
-)
+@query("person_components")
 def person_components(t: Tables) -> DataFrame:
     return graph.components(_sparse(t))
 
@@ -172,13 +164,13 @@ def common_parents(t: Tables) -> DataFrame:
 
 @query(
     "lifted_phantoms",
-    f"""WITH {_PLACES}, f AS (SELECT 'c' || o_custkey AS node, count(*) AS freq FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1),
+    f"""WITH {_PLACES}, f AS (SELECT 'c' || o_custkey AS node, count(*) AS freq FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
 n AS (SELECT parent, count(*) AS n FROM p GROUP BY parent), h AS (SELECT n.parent, n.n, up.parent AS grand FROM n JOIN p up ON up.child = n.parent LEFT JOIN f ON f.node = n.parent WHERE coalesce(freq, 0) <= 3 AND n >= 5 AND n >= 3 * greatest(coalesce(freq, 0), 1)),
 o AS (SELECT p.child, h.grand, h.n, coalesce(f.freq, 0) AS freq, row_number() OVER (PARTITION BY p.parent ORDER BY coalesce(f.freq, 0), p.child) AS k FROM p JOIN h ON p.parent = h.parent LEFT JOIN f ON f.node = p.child),
 m AS (SELECT child, grand FROM o WHERE k <= n - 3 AND freq <= 1) SELECT p.child, coalesce(m.grand, p.parent) AS parent FROM p LEFT JOIN m USING (child)""",
 )
 def lifted_phantoms(t: Tables) -> DataFrame:
-    freq = t.orders.where("o_orderkey % 8 = 0").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node")).agg(F.count("*").alias("freq"))
+    freq = t.orders.where("o_orderstatus = 'P'").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node")).agg(F.count("*").alias("freq"))
     return tree.lifted_phantoms(places(t), freq)
 
 

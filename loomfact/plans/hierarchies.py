@@ -15,31 +15,32 @@ from ..streaming import incremental
 
 def place_facts(t: Tables) -> DataFrame:
     """A brand's parts are a novel's places: child and parent are sizes, chapters the parts' orders."""
-    rows = t.lineitem.where("l_orderkey % 4 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.col("p_brand").alias("novel"),
         (F.col("l_orderkey") % 50).alias("chapter"),
         F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("child"),
         F.concat(F.lit("p"), (F.col("l_suppkey") % 12).cast("string")).alias("parent"),
         (F.col("l_returnflag") == "R").alias("peer"),
+        F.concat("l_returnflag", "l_linestatus").alias("flag"),
     )
 
 
-_FACTS = "x AS (SELECT p_brand AS novel, l_orderkey % 50 AS chapter, 'p' || (l_partkey % 40) AS child, 'p' || (l_suppkey % 12) AS parent, l_returnflag = 'R' AS peer FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0)"
+_FACTS = "x AS (SELECT p_brand AS novel, l_orderkey % 50 AS chapter, 'p' || (l_partkey % 40) AS child, 'p' || (l_suppkey % 12) AS parent, l_returnflag = 'R' AS peer, l_returnflag || l_linestatus AS flag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def votes(t: Tables) -> DataFrame:
     f = place_facts(t)
     keys = ["novel", "child", "parent"]
-    contains = f.where("chapter % 10 = 0").select(*keys, F.when(F.col("peer"), "low").otherwise("high").alias("confidence"))
-    settings = f.where("chapter % 10 = 1").select(*keys)
-    return hierarchy.parent_votes(f, contains, settings, f.where("chapter % 10 = 2").select(*keys))
+    contains = f.where("flag in ('RF', 'AO')").select(*keys, F.when(F.col("peer"), "low").otherwise("high").alias("confidence"))
+    settings = f.where("flag = 'AF'").select(*keys)
+    return hierarchy.parent_votes(f, contains, settings, f.where("flag = 'NF'").select(*keys))
 
 
 _VOTES = f"""{_FACTS}, c AS (SELECT novel, chapter, row_number() OVER (PARTITION BY novel ORDER BY chapter) - 1 AS i, count(*) OVER (PARTITION BY novel) AS n FROM (SELECT DISTINCT novel, chapter FROM x)),
 v0 AS (SELECT novel, child, parent, (1 + 0.5 * i / n::DOUBLE) * CASE WHEN peer THEN 1 / 3::DOUBLE ELSE 1.0 END AS w FROM x JOIN c USING (novel, chapter)
-  UNION ALL SELECT novel, child, parent, CASE WHEN peer THEN 1.0 ELSE 3.0 END FROM x WHERE chapter % 10 = 0 UNION ALL SELECT novel, child, parent, 2.0 FROM x WHERE chapter % 10 = 1),
-v1 AS (SELECT novel, child, parent, sum(w) AS w FROM v0 WHERE child <> parent GROUP BY ALL), b AS (SELECT DISTINCT novel, child, parent FROM x WHERE chapter % 10 = 2),
+  UNION ALL SELECT novel, child, parent, CASE WHEN peer THEN 1.0 ELSE 3.0 END FROM x WHERE flag IN ('RF', 'AO') UNION ALL SELECT novel, child, parent, 2.0 FROM x WHERE flag = 'AF'),
+v1 AS (SELECT novel, child, parent, sum(w) AS w FROM v0 WHERE child <> parent GROUP BY ALL), b AS (SELECT DISTINCT novel, child, parent FROM x WHERE flag = 'NF'),
 v AS (SELECT v1.novel, v1.child, v1.parent, w + CASE WHEN b.child IS NULL THEN 0 ELSE 1 END AS weight FROM v1 LEFT JOIN b USING (novel, child, parent))"""
 
 

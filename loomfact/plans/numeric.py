@@ -72,9 +72,9 @@ def layout_keys(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", nu.range_key(s("o_orderkey"), s("o_custkey"), F.lit("1000"), F.lit("800")).alias("key"))
 
 
-@query("marker_sizes", "SELECT l_suppkey AS place, least(greatest(10 + 2 * count(*) + 5 * (3 - l_suppkey % 5), 15), 60)::BIGINT AS radius FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY l_suppkey")
+@query("marker_sizes", "SELECT o_custkey AS place, least(greatest(10 + 2 * count(*) + 5 * (3 - o_custkey % 5), 15), 60)::BIGINT AS radius FROM orders GROUP BY o_custkey")
 def marker_sizes(t: Tables) -> DataFrame:
-    n = t.lineitem.where("l_orderkey % 97 = 0").groupBy(F.col("l_suppkey").alias("place")).agg(F.count("*").alias("n"))
+    n = t.orders.groupBy(F.col("o_custkey").alias("place")).agg(F.count("*").alias("n"))
     return n.select("place", nu.marker_radius(F.col("n"), F.col("place") % 5).cast("long").alias("radius"))
 
 

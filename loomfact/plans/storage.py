@@ -154,9 +154,10 @@ def upsert_state(t: Tables) -> DataFrame:
     return store.upsert(old, new, ["novel"])
 
 
-@query("cascade_delete", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0)")
+@query("cascade_delete", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')")
 def cascade_delete(t: Tables) -> DataFrame:
-    gone = t.orders.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    novels = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    gone = t.orders.join(novels, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     return store.without(t.lineitem, gone, ["l_orderkey"]).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
 
 

@@ -42,9 +42,9 @@ def entity_list(t: Tables) -> DataFrame:
     return pf.entity_list(kinds[0].union(kinds[1]).union(kinds[2]), ["person", "place", "item"])
 
 
-@query("merged_appearances", f"WITH {FACTS} SELECT person, role, min(chapter) AS first, string_agg(chapter::VARCHAR, ',' ORDER BY chapter) AS chapters FROM f WHERE person % 10 = 3 GROUP BY person, role")
+@query("merged_appearances", f"WITH {FACTS} SELECT place, role, min(chapter) AS first, string_agg(chapter::VARCHAR, ',' ORDER BY chapter) AS chapters FROM f GROUP BY place, role")
 def merged_appearances(t: Tables) -> DataFrame:
-    return pf.merged_descriptions(facts(t).where("person % 10 = 3"), "person", "role", "chapter")
+    return pf.merged_descriptions(facts(t), "place", "role", "chapter")
 
 
 @query(
@@ -124,18 +124,18 @@ def item_holders(t: Tables) -> DataFrame:
 @query(
     "relation_gaps",
     f"""WITH {FACTS}, r AS (SELECT DISTINCT chapter, person AS p FROM f), w AS (SELECT x.p AS a, y.p AS b, count(*) AS weight FROM r x JOIN r y ON x.chapter = y.chapter AND x.p < y.p GROUP BY ALL),
-n AS (SELECT person, count(*) AS n FROM f GROUP BY person), k AS (SELECT DISTINCT least(person, place % 100 + 1) AS a, greatest(person, place % 100 + 1) AS b FROM f WHERE chapter % 5 = 0)
+n AS (SELECT person, count(*) AS n FROM f GROUP BY person), k AS (SELECT DISTINCT least(person, place % 100 + 1) AS a, greatest(person, place % 100 + 1) AS b FROM f WHERE action = 'F' AND role = 'R')
 SELECT w.a, w.b, (weight * (x.n + y.n))::BIGINT AS priority FROM w JOIN n x ON x.person = w.a JOIN n y ON y.person = w.b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = w.a AND k.b = w.b) ORDER BY priority DESC, a, b LIMIT 200""",
 )
 def relation_gaps(t: Tables) -> DataFrame:
     f = facts(t)
     other = F.col("place") % 100 + 1
-    known = f.where("chapter % 5 = 0").select(F.least("person", other).alias("a"), F.greatest("person", other).alias("b"))
+    known = f.where("action = 'F' and role = 'R'").select(F.least("person", other).alias("a"), F.greatest("person", other).alias("b"))
     mentions = f.groupBy(F.col("person").alias("name")).agg(F.count("*").alias("n"))
     return pf.gaps(graph.pair_edges(f, "chapter", "person"), known, mentions, 200)
 
 
-_DIR = "d AS (SELECT person % 30 AS a, place % 30 AS b, CASE action WHEN 'O' THEN 'north' ELSE 'east' END AS v, max(weight % 3 + 1) AS c FROM f WHERE chapter % 60 = 0 AND person % 30 <> place % 30 GROUP BY ALL)"
+_DIR = "d AS (SELECT person % 300 AS a, place % 3000 AS b, CASE action WHEN 'O' THEN 'north' ELSE 'east' END AS v, max(weight % 3 + 1) AS c FROM f WHERE person % 300 <> place % 3000 GROUP BY ALL)"
 
 
 @query(
@@ -144,8 +144,8 @@ _DIR = "d AS (SELECT person % 30 AS a, place % 30 AS b, CASE action WHEN 'O' THE
 SELECT a, b, v, c FROM x WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.a = x.a AND d.b = x.b) AND NOT EXISTS (SELECT 1 FROM d WHERE d.a = x.b AND d.b = x.a)""",
 )
 def transitive_directions(t: Tables) -> DataFrame:
-    f = facts(t).where("chapter % 60 = 0 and person % 30 <> place % 30")
-    rows = f.select((F.col("person") % 30).alias("a"), (F.col("place") % 30).alias("b"), F.when(F.col("action") == "O", "north").otherwise("east").alias("v"), (F.col("weight") % 3 + 1).alias("c"))
+    f = facts(t).where("person % 300 <> place % 3000")
+    rows = f.select((F.col("person") % 300).alias("a"), (F.col("place") % 3000).alias("b"), F.when(F.col("action") == "O", "north").otherwise("east").alias("v"), (F.col("weight") % 3 + 1).alias("c"))
     return pf.transitive(rows, "a", "b", "v", "c")
 
 
