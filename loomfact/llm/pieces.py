@@ -18,24 +18,25 @@ a space; rows that repeat are encoded each; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .packing import slices
-from .tokens import vocabulary
+from .tokens import WordTable, vocabulary
 
 MARK = "▁"
-#: Words that a worker's table holds at most.
-TABLE_WORDS = 400_000
 #: Words of equal length that advance together.
 TOGETHER = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that are left for the marks by which most substrings are passed over.
+_SHIFT = np.uint64(64 - 18)
 #: How far below the lowest score a character without a piece is.
 _UNKNOWN = 10.0
 
@@ -65,13 +66,14 @@ class Pieces:
         self.chars = np.zeros((len(own), self.longest), np.uint32)
         for k, i in enumerate(self.ids.tolist()):
             self.chars[k, : len(self.names[i])] = [ord(c) for c in self.names[i]]
+        self.marked = np.zeros((self.longest + 1, 1 << 18), bool)
+        self.marked[self.sizes, (self.keys >> _SHIFT).astype(np.int64)] = True
         self.lowest = float(self.scores.min()) - _UNKNOWN
         self.power = np.ones(self.longest + 1, np.uint64)
         for k in range(1, self.longest + 1):
             self.power[k] = int(self.power[k - 1]) * int(_BASE) & 0xFFFFFFFFFFFFFFFF
-        single = "" if any("\n" in self.names[i] for i in own) else "\n"
-        self.cut = re.compile(f"{MARK}*[^{MARK}{single}]+|{MARK}+" + ("|\n" if single else ""))
-        self.table: dict[str, bytes] = {}
+        self.feeds_alone = not any("\n" in self.names[i] for i in own)
+        self.table = WordTable()
         text = ["" if special[i] else self.names[i].replace(MARK, " ") for i in range(n)]
         self.raw = [t.encode() for t in text]
         for b, i in enumerate(self.bytes.tolist()):
@@ -111,9 +113,11 @@ class Pieces:
         for j in range(1, size + 1):
             for m in range(min(self.longest, j), 0, -1):
                 want = h[j] - h[j - m] * self.power[m]
-                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-                hit = np.flatnonzero((self.keys[at] == want) & (self.sizes[at] == m))
-                k = at[hit]
+                hit = np.flatnonzero(self.marked[m][want >> _SHIFT])
+                want = want[hit]
+                k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+                good = (self.keys[k] == want) & (self.sizes[k] == m)
+                hit, k = hit[good], k[good]
                 good = (self.chars[k, :m] == codes[hit, j - m : j]).all(axis=1)
                 hit, k = hit[good], k[good]
                 score = best[j - m, hit] + self.scores[k]
@@ -134,12 +138,11 @@ class Pieces:
             at[open_] -= back[at[open_], open_]
             steps += 1
         path = path[:steps][::-1].T
-        out = []
-        for w, row in zip(words, path, strict=True):
-            ids = row[row > -2]
-            if (ids < 0).any():
-                ids = self._with_bytes(w, ids)
-            out.append(ids.astype("<u4").tobytes())
+        raw = path[path > -2].astype("<u4").tobytes()
+        ends = (np.cumsum((path > -2).sum(axis=1)) * 4).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for i in np.flatnonzero((path == -1).any(axis=1)).tolist():
+            out[i] = self._with_bytes(words[i], path[i][path[i] > -2]).astype("<u4").tobytes()
         return out
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
@@ -153,19 +156,25 @@ class Pieces:
                 at += len(self.names[i])
         return np.array(out, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.cut.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        need = set().union(*split)
-        if len(need) + len(self.table) > TABLE_WORDS:
-            self.table.clear()
-        new = list(need.difference(self.table))
-        found = dict(zip(new, self.search(new), strict=True))
-        get = self.table.__getitem__
-        if len(new) <= TABLE_WORDS:
-            self.table.update(found)
-        else:
-            get = found.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes with a space in front of each that isn't empty (and room behind), and their words."""
+        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), MARK, " ")
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        n, raw = int(at[-1] - at[0]), texts.buffers()[2]
+        data = np.full(n + WordTable.WIDTH + 9, 0x20, np.uint8)
+        if n:
+            data[:n] = np.frombuffer(raw, np.uint8, n, int(at[0]))
+        space, feed = data[:n] == 0x20, (data[:n] == 0x0A) & self.feeds_alone
+        first = feed.copy()
+        first[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        first[(at[:-1] - at[0])[at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(first)
+        return data, starts, np.diff(np.append(starts, n)), np.searchsorted(starts, at - at[0])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts one after the other, and the number of ids of each; null counts as empty."""
+        return self.table.looked_up(*self._split(texts), lambda new: self.search([w.decode().replace(" ", MARK) for w in new]))
 
     def decode(self, ids: list[bytes]) -> list[str]:
         raw = self.raw
@@ -189,12 +198,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         model = pieces(path)
         for b in batches:
             for at, texts in slices(b.column("text")):
-                ids = model.encode(texts.to_pylist())
-                cols = [b.column("doc_id").slice(at, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                flat, size = model.encode(texts)
+                cuts = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                cols = [b.column("doc_id").slice(at, len(size)), pa.array(size), ids]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_ids", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return base.mapInArrow(trimmed(run), "doc_id long, n_ids long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -207,4 +218,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             text = pa.array(model.decode(b.column("ids").to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), text], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids binary, text string")

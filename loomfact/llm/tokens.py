@@ -11,6 +11,7 @@ letters, in lower case, and its marks, as the vocabulary's own rule splits it to
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
 from string import punctuation
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Letters of words that a worker's tables hold at most.
-TABLE_LETTERS = 200_000
+TABLE_LETTERS = 150_000
 #: New words that go through the library as one text.
 JOINED = 512
 #: Letters below this have one lower-case form, are composed and were letters in every version of Unicode in use.
@@ -94,6 +95,42 @@ class WordTable:
         self.words += int((out >= 0).sum())
         return out
 
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray, make: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words given by place and size, and the number of ids of each text.
+
+        ``before`` has the number of words before each text; ``make`` gives the ids of
+        different words that the table does not hold.
+        """
+        if self.words > self.SLOTS // 2:
+            self.clear()
+        short = sizes <= self.WIDTH
+        keys, slots = self.keyed(data, starts, sizes)
+        where = self.find(keys, slots)
+        where[~short] = -1
+        missing = np.flatnonzero(where < 0)
+        own: dict[bytes, int] = {}
+        raw, of = data.tobytes(), np.empty(len(missing), np.int64)
+        for k, (a, n) in enumerate(zip(starts[missing].tolist(), sizes[missing].tolist(), strict=True)):
+            of[k] = own.setdefault(raw[a : a + n], len(own))
+        ids = make(list(own))
+        one = np.zeros(len(own), np.int64)
+        one[of[::-1]] = missing[::-1]  # a place where each new word stands
+        fits = np.flatnonzero(short[one])
+        if self.words + len(fits) <= self.SLOTS * 3 // 4:
+            self.add(keys[one[fits]], slots[one[fits]], [ids[i] for i in fits.tolist()])
+        #  Lay out the ids: words of the table from its pool, new ones from their own.
+        fresh = np.frombuffer(b"".join(ids), "<u4")
+        fresh_size = np.array([len(x) // 4 for x in ids], np.int64)
+        fresh_at = self.used + np.cumsum(fresh_size) - fresh_size
+        count, source = self.size[where].astype(np.int64), self.at[where].astype(np.int64)
+        count[missing], source[missing] = fresh_size[of], fresh_at[of]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        index = np.repeat(source - (ends - count), count) + np.arange(total)
+        pool = np.concatenate([self.pool[: self.used], fresh]) if len(fresh) else self.pool
+        bounds = np.concatenate([[0], ends])[before]
+        return pool[index].astype("<u4", copy=False), np.diff(bounds)
+
 
 class WordTokenizer:
     """ids of texts without special tokens."""
@@ -187,37 +224,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after the other, and the number of ids of each; null counts as empty."""
-        table = self.table
-        if table.words > table.SLOTS // 2:
-            table.clear()
-        data, starts, sizes, before = self._split(texts.fill_null(""))
-        short = sizes <= table.WIDTH
-        keys, slots = table.keyed(data, starts, sizes)
-        where = table.find(keys, slots)
-        where[~short] = -1
-        missing = np.flatnonzero(where < 0)
-        own: dict[bytes, int] = {}
-        raw, of = data.tobytes(), np.empty(len(missing), np.int64)
-        for k, (a, n) in enumerate(zip(starts[missing].tolist(), sizes[missing].tolist(), strict=True)):
-            of[k] = own.setdefault(raw[a : a + n], len(own))
-        ids = self.words([w.decode() for w in own])
-        one = np.zeros(len(own), np.int64)
-        one[of[::-1]] = missing[::-1]  # a place where each new word stands
-        fits = np.flatnonzero(short[one])
-        if table.words + len(fits) <= table.SLOTS * 3 // 4:
-            table.add(keys[one[fits]], slots[one[fits]], [ids[i] for i in fits.tolist()])
-        #  Lay out the ids: words of the table from its pool, new ones from their own.
-        fresh = np.frombuffer(b"".join(ids), "<u4")
-        fresh_size = np.array([len(x) // 4 for x in ids], np.int64)
-        fresh_at = table.used + np.cumsum(fresh_size) - fresh_size
-        count, source = table.size[where].astype(np.int64), table.at[where].astype(np.int64)
-        count[missing], source[missing] = fresh_size[of], fresh_at[of]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.repeat(source - (ends - count), count) + np.arange(total)
-        pool = np.concatenate([table.pool[: table.used], fresh]) if len(fresh) else table.pool
-        bounds = np.concatenate([[0], ends])[before]
-        return pool[index].astype("<u4", copy=False), np.diff(bounds)
+        return self.table.looked_up(*self._split(texts.fill_null("")), lambda new: self.words([w.decode() for w in new]))
 
 
 @lru_cache(maxsize=2)
