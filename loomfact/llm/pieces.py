@@ -3,14 +3,18 @@
 The pieces and scores come from a public model file. A text is prepared as the model
 does (a space in front, spaces as the model's mark) and cut where no piece can reach
 across: before a mark behind another character, and around line feeds if no piece
-holds one. Of the segmentations of such a word the one with the highest sum of scores is
-taken, the longer last piece on a tie; a character without a piece becomes its bytes.
-Words of equal length advance together: for each end position the rolling hashes of all
-substrings are probed in the sorted hashes of the pieces, hits are confirmed by their
-characters, and the best score and piece are stored as backpointers.
+holds one. Words of equal length advance together: for each end position the rolling
+hashes of all substrings are probed in the sorted hashes of the pieces, hits are
+confirmed by their characters, and the best piece is stored as a backpointer. A
+character without a piece becomes its bytes.
 
-This is the model's own rule for unigram scores. A model made by merges has merge ranks
-for scores; its library applies the merges in order and may cut a word differently.
+What is best follows the model's kind. With unigram scores it is the highest sum, the
+longer last piece on a tie. With merges every beginning of a word has just one last
+piece: the one that merges would leave standing next to the last piece before it. Two
+pieces stand together if undoing their merges, the latest first, never shows a pair
+that would have merged across them before; so the same search gives the merges' result.
+(Runs of marks are left to the library: the model ranks the shortest of them last, so
+their merges do not come in the order of their ranks.)
 
 Defined cases: null text counts as empty and has no ids; the mark itself reads back as
 a space; rows that repeat are encoded each; extra columns are ignored.
@@ -47,7 +51,7 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        lib = self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.vocab_size()
         self.names = [lib.id_to_piece(i) for i in range(n)]
         special = [lib.is_unknown(i) or lib.is_control(i) or lib.is_byte(i) or lib.is_unused(i) for i in range(n)]
@@ -68,6 +72,9 @@ class Pieces:
             self.chars[k, : len(self.names[i])] = [ord(c) for c in self.names[i]]
         self.marked = np.zeros((self.longest + 1, 1 << 18), bool)
         self.marked[self.sizes, (self.keys >> _SHIFT).astype(np.int64)] = True
+        self.merges = self._kind(path) == 2
+        if self.merges:
+            self._prepare_merges()
         self.lowest = float(self.scores.min()) - _UNKNOWN
         self.power = np.ones(self.longest + 1, np.uint64)
         for k in range(1, self.longest + 1):
@@ -87,11 +94,83 @@ class Pieces:
             h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    @staticmethod
+    def _kind(path: str) -> int:
+        """1 for a model with unigram scores, 2 for one made by merges."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        return model.trainer_spec.model_type
+
+    def _prepare_merges(self) -> None:
+        """Rank of each piece by its merge (0 for characters), the two pieces it is merged of, and all pairs that merge."""
+        n = len(self.keys)
+        names = [self.names[i] for i in self.ids.tolist()]
+        at = {t: k for k, t in enumerate(names)}
+        order = np.unique(-self.scores[self.sizes > 1], return_inverse=True)[1]
+        self.rank = np.zeros(n, np.int64)
+        self.rank[self.sizes > 1] = order + 1
+        rank = self.rank.tolist()
+        self.head, self.tail = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.whole = np.zeros(n, bool)  # pieces that the merges leave as they are
+        pairs, made = [], []
+        for k, t in enumerate(names):
+            for i in range(1, len(t)):
+                x, y = at.get(t[:i]), at.get(t[i:])
+                if x is not None and y is not None:
+                    pairs.append(x << 20 | y)
+                    made.append(k)
+            parts, last = list(t), None
+            while len(parts) > 1:
+                found = [(rank[at[x + y]], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in at]
+                if not found:
+                    break
+                i = min(found)[1]
+                last = (parts[i], parts[i + 1])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 1:
+                self.whole[k] = True
+                if last:
+                    self.head[k], self.tail[k] = at[last[0]], at[last[1]]
+        by = np.argsort(pairs)
+        self.pairs, self.made = np.array(pairs, np.int64)[by], np.array(made)[by]
+        self.paired = np.zeros(1 << 20, bool)
+        self.paired[self._pair_mark(self.pairs)] = True
+
+    @staticmethod
+    def _pair_mark(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * _BASE) >> np.uint64(44)).astype(np.int64)
+
+    def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces the merges leave standing side by side."""
+        ok, open_ = np.ones(len(left), bool), np.arange(len(left))
+        x, y, limit = left.copy(), right.copy(), np.full(len(left), 1 << 40)
+        while len(open_):
+            pair = x << 20 | y
+            maybe = np.flatnonzero(self.paired[self._pair_mark(pair)])
+            at = np.minimum(np.searchsorted(self.pairs, pair[maybe]), len(self.pairs) - 1)
+            crossed = maybe[(self.pairs[at] == pair[maybe]) & (self.rank[self.made[at]] < limit[maybe])]
+            ok[open_[crossed]] = False
+            #  Undo the later of the two merges; of equal ones the left was first.
+            back = self.rank[x] > self.rank[y]
+            limit = np.where(back, self.rank[x], self.rank[y] + 1)
+            more = np.where(back, self.tail[x], self.head[y])
+            go = more >= 0
+            go[crossed] = False
+            x, y = np.where(back, more, x)[go], np.where(back, y, more)[go]
+            limit, open_ = limit[go], open_[go]
+        return ok
+
     def search(self, words: list[str]) -> list[bytes]:
         """ids (little-endian unsigned 32-bit) of each word."""
         out: list[bytes] = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
+            if self.merges and w.startswith(MARK + MARK):
+                out[i] = np.array(self.lib.encode(w[1:].replace(MARK, " ")), "<u4").tobytes()
+                continue
             by_size.setdefault(len(w), []).append(i)
         for size, at in by_size.items():
             step = max(1, TOGETHER // max(1, size))
@@ -110,6 +189,7 @@ class Pieces:
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0.0
         back, piece = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int64)
+        last = np.full((size + 1, n), -1, np.int64)  # the piece's place among the keys
         for j in range(1, size + 1):
             for m in range(min(self.longest, j), 0, -1):
                 want = h[j] - h[j - m] * self.power[m]
@@ -120,13 +200,23 @@ class Pieces:
                 hit, k = hit[good], k[good]
                 good = (self.chars[k, :m] == codes[hit, j - m : j]).all(axis=1)
                 hit, k = hit[good], k[good]
-                score = best[j - m, hit] + self.scores[k]
+                if m == 1:
+                    known = np.zeros(n, bool)
+                    known[hit] = True
+                if self.merges:
+                    free = (back[j, hit] == 0) & self.whole[k]
+                    hit, k = hit[free], k[free]
+                    before = last[j - m, hit]
+                    fits = before < 0
+                    fits[~fits] = self.together(before[~fits], k[~fits])
+                    hit, k, score = hit[fits], k[fits], np.zeros(int(fits.sum()))
+                else:
+                    score = best[j - m, hit] + self.scores[k]
                 more = score > best[j, hit]
                 who = hit[more]
-                best[j, who], back[j, who], piece[j, who] = score[more], m, self.ids[k[more]]
+                best[j, who], back[j, who], piece[j, who], last[j, who] = score[more], m, self.ids[k[more]], k[more]
                 if m == 1:
-                    none = np.ones(n, bool)
-                    none[hit] = False
+                    none = ~known
                     score = best[j - 1] + self.lowest
                     who = np.flatnonzero(none & (score > best[j]))
                     best[j, who], back[j, who], piece[j, who] = score[who], 1, -1

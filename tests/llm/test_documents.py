@@ -255,8 +255,18 @@ def test_sharded_files(spark, docs, tmp_path):
     assert back.count() == len(ROWS) and set(docs.columns) < set(back.columns)
 
 
-def test_pieces_round_trip_and_best_score(spark, docs):
-    model = pieces.Pieces(vocabulary("piece_bpe_32k.model"))
+WORDS = ["▁interesting", "▁été", "▁x", "▁①②", "▁▁▁▁▁▁a", "▁supercalifragilistic", "\n", "▁日本語"]
+
+
+def test_pieces_with_unigram_scores(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    model = pieces.Pieces(str(tmp_path / "unigram.model"))
     score = {int(i): float(s) for i, s in zip(model.ids, model.scores, strict=True)}
     by_name = {model.names[i]: i for i in score}
 
@@ -269,8 +279,14 @@ def test_pieces_round_trip_and_best_score(spark, docs):
             top.append(max(found, key=lambda x: x[0]))
         return top[-1][1]
 
-    words = ["▁interesting", "▁été", "▁x", "▁①②", "▁▁▁▁▁▁a", "▁supercalifragilistic", "\n", "▁日本語"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in model.search(words)] == [best(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.search(WORDS)] == [best(w) for w in WORDS]
+
+
+def test_pieces_of_a_merged_model_equal_the_library(spark, docs):
+    model = pieces.Pieces(vocabulary("piece_bpe_32k.model"))
+    texts = ["  a  b   c", "x\n\n y \n", "é ﬁ ①  日本語 テスト", "internationalization of the supercalifragilistic thing. It's 2024-10-01!", "▁x ▁▁ y", " ", "a", "", *(t or "" for _, t, *_ in ROWS)]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: model.lib.encode(t) for i, t in enumerate(texts)}
     back = pieces.decode(pieces.encode(docs)).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t, *_ in ROWS)
 
