@@ -57,6 +57,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, whose rows go to Python in small batches."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand ``rows`` rows at a time to Python: whole texts are long, and both sides hold a batch in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

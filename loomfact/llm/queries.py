@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import documents, table
 from .embedding_dedup import linked
 from .exact_dedup import exact_groups
 from .packing import pack
@@ -21,12 +21,12 @@ from .tool_calls import linked as linked_calls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"))
+    pieces = pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"))
+    return shards(documents(spark, sf_dir))
 
 
 OP2_SQL = f"""
@@ -42,11 +42,11 @@ SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth, n_bytes > {LIMIT
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(documents(spark, sf_dir))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = round_trip(table(spark, sf_dir, "documents"))
+    docs = round_trip(documents(spark, sf_dir))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -55,7 +55,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(documents(spark, sf_dir))
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +72,16 @@ FROM conversations
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode(encode(table(spark, sf_dir, "documents")))
+    back = decode(encode(documents(spark, sf_dir)))
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(documents(spark, sf_dir))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return graded(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 OP6_SQL = r"""
