@@ -16,8 +16,10 @@ along; rows that repeat are packed each on its own; an empty table gives no piec
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -80,33 +82,38 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
-    """Positions of ``sizes`` in each of ``windows`` near-equal sets."""
+    """Positions of ``sizes`` in each of ``windows`` near-equal sets.
+
+    A partial partition lists its sums from the heaviest, without those that are zero, so
+    two of them that fill no more than all windows together only interleave.
+    """
     n = len(sizes)
     left, right = [-1] * n, [-1] * n  # sets are trees: a leaf is a position, an inner node joins two
-    heap = []
-    for i, s in enumerate(sizes):
-        sums, sets = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        sums[0], sets[0] = s, i
-        heap.append((-s if windows > 1 else 0, i, sums, sets))
+
+    def spread(sums: list[int]) -> int:
+        return sums[0] - (sums[-1] if len(sums) == windows else 0)
+
+    heap = [(-spread([s]), i, [s], [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
         _, _, a, a_sets = heapq.heappop(heap)
         _, _, b, b_sets = heap[0]
-        b, b_sets = b[::-1], b_sets[::-1]  # the lightest of b goes to the heaviest of a
-        sums, sets = a + b, np.where(a_sets < 0, b_sets, a_sets)
-        both = np.flatnonzero((a_sets >= 0) & (b_sets >= 0))
-        if len(both):
-            sets[both] = np.arange(len(left), len(left) + len(both))
-            left += a_sets[both].tolist()
-            right += b_sets[both].tolist()
-        by = np.argsort(-sums, kind="stable")
-        sums, sets = sums[by], sets[by]
-        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), order, sums, sets))
+        if len(a) + len(b) <= windows and len(b) == 1:
+            at = len(a) if b[0] <= a[-1] else bisect_right(a, -b[0], key=neg)
+            a.insert(at, b[0])
+            a_sets.insert(at, b_sets[0])
+            sums, sets = a, a_sets
+        elif len(a) + len(b) <= windows:
+            both = sorted(zip(a + b, a_sets + b_sets, strict=True), reverse=True)
+            sums, sets = [x for x, _ in both], [x for _, x in both]
+        else:
+            sums, sets = _opposed(a, a_sets, b, b_sets, windows, left, right)
+        heapq.heapreplace(heap, (-spread(sums), order, sums, sets))
         order += 1
     out: list[list[int]] = []
-    for top in heap[0][3].tolist() if heap else []:
-        got, todo = [], [top] if top >= 0 else []
+    for top in heap[0][3] if heap else []:
+        got, todo = [], [top]
         while todo:
             x = todo.pop()
             if x < n:
@@ -117,6 +124,20 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return [x for x in out if x]
 
 
+def _opposed(a: list[int], a_sets: list[int], b: list[int], b_sets: list[int], windows: int, left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
+    """The heaviest windows of one partition on the lightest of the other; sets that meet become inner nodes."""
+    x, x_sets, y, y_sets = np.zeros(windows, np.int64), np.full(windows, -1, np.int64), np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
+    x[: len(a)], x_sets[: len(a)] = a, a_sets
+    y[windows - len(b) :], y_sets[windows - len(b) :] = b[::-1], b_sets[::-1]
+    both = np.flatnonzero((x_sets >= 0) & (y_sets >= 0))
+    sets = np.where(x_sets < 0, y_sets, x_sets)
+    sets[both] = np.arange(len(left), len(left) + len(both))
+    left += x_sets[both].tolist()
+    right += y_sets[both].tolist()
+    by = np.argsort(-(x + y), kind="stable")
+    return (x + y)[by].tolist(), sets[by].tolist()
+
+
 def near_equal_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Differencing into the fewest windows, one more as long as any exceeds ``capacity``."""
     windows = max(1, -(-sum(sizes) // capacity))
