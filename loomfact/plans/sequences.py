@@ -98,7 +98,7 @@ def direction_conflicts(t: Tables) -> DataFrame:
 @query(
     "distance_conflicts",
     f"""WITH {_PLACES}, n AS (SELECT least(a, b) AS a, greatest(a, b) AS b, rank, min(id) AS seen FROM r GROUP BY ALL)
-SELECT x.a, x.b, x.rank AS one, y.rank AS two, abs(x.rank - y.rank) AS gap FROM n x JOIN n y ON x.a = y.a AND x.b = y.b AND x.seen < y.seen AND abs(x.rank - y.rank) >= 2""",
+SELECT x.a, x.b, x.rank AS one, y.rank AS two, abs(x.rank - y.rank) AS gap FROM n x JOIN n y ON x.a = y.a AND x.b = y.b AND (x.seen < y.seen OR (x.seen = y.seen AND x.rank < y.rank)) AND abs(x.rank - y.rank) >= 2""",
 )
 def distance_conflicts(t: Tables) -> DataFrame:
     return seq.distance_gaps(places(t), "a", "b", "rank", "id")
