@@ -38,13 +38,16 @@ GRADES = 3
 KEEP_FROM = 0.5
 ROUNDS = 200
 STEP = 0.05
-RIDGE = 1e-3
-#: Documents in the sample that a feature must have; a hundredth of a small sample, but 3, will do.
-LEAST_DOCS = 30
+RIDGE = 3e-3
+#: Documents in the sample that a feature must have. The ridge penalty holds rare features down, not a
+#: higher cut, which would drop the toxic words of the smaller languages.
+LEAST_DOCS = 3
+#: Documents of the sample whose share is added to both sides of a feature's log ratios.
+SMOOTH = 2.0
 #: Weight of a share against a word's presence.
 SHARE = 20.0
-#: Letters of a word's beginning, which is a feature too.
-START = 5
+#: Letters of a word's beginnings, which are features too.
+STARTS = (4, 6)
 #: Words whose buckets a worker remembers.
 REMEMBERED = 50_000
 
@@ -59,7 +62,7 @@ class Features:
         """Buckets and shapes of one word, remembered for the next time."""
         core = w.strip(punctuation)
         low = core.lower()
-        names = [low, f"start: {low[:START]}"] if len(low) > START else [low]
+        names = [low, *(f"start: {low[:k]}" for k in STARTS if len(low) > k)]
         shapes = []
         if marks := w[len(w.rstrip(punctuation)) :]:
             shapes.append("marks " + marks[:4])
@@ -101,6 +104,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _telling(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> np.ndarray:
+    """For each bucket the square of the largest log ratio, either way, of its shares of documents above and below a threshold.
+
+    Values are scaled by it, so the penalty weighs less on words that tell grades apart, in however few documents.
+    """
+    by_grade = np.zeros((GRADES, BUCKETS))
+    for g in range(GRADES):
+        own = [i for (i, _), x in zip(rows, grades.tolist(), strict=True) if x == g]
+        by_grade[g] = np.bincount(np.concatenate(own), minlength=BUCKETS) if own else 0
+    n, out = np.bincount(grades, minlength=GRADES), np.zeros(BUCKETS)
+    for k in range(1, GRADES):
+        if 0 < n[:k].sum() < len(grades):
+            below, above = by_grade[:k].sum(axis=0) / n[:k].sum(), by_grade[k:].sum(axis=0) / n[k:].sum()
+            out = np.maximum(out, np.abs(np.log((above + SMOOTH / len(grades)) / (below + SMOOTH / len(grades)))))
+    return out * out
+
+
 class Ordinal:
     """Cumulative-link model: weights and ordered thresholds."""
 
@@ -121,12 +141,14 @@ class Ordinal:
         if len(set(grades.tolist())) < 2:
             return cls(weights, thresholds)
         docs = np.bincount(np.concatenate([i for i, _ in rows]), minlength=BUCKETS)
-        used = np.flatnonzero(docs >= min(LEAST_DOCS, max(3, len(rows) // 100)))
+        used = np.flatnonzero(docs >= LEAST_DOCS)
+        scale = _telling(rows, grades)[used]
         place = np.full(BUCKETS, -1)
         place[used] = np.arange(len(used))
         kept = [(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in rows]
         row = np.repeat(np.arange(len(kept)), [len(i) for i, _ in kept])
         idx, val = np.concatenate([i for i, _ in kept]), np.concatenate([v for _, v in kept])
+        val = val * scale[idx]
         #  Parameters: the used weights, the first threshold, the logarithms of the gaps.
         gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
         p = np.concatenate([np.zeros(len(used)), thresholds[:1], gaps])
@@ -145,7 +167,7 @@ class Ordinal:
             g = np.concatenate([np.bincount(idx, ds[row] * val, k) + RIDGE * w, later[:1], later[1:] * np.exp(p[k + 1 :])])
             m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
             p = p - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.999**t)) + 1e-8)
-        weights[used] = p[:k]
+        weights[used] = p[:k] * scale
         return cls(weights, np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])])))
 
 
