@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import dropped, maybe_broadcast, written
 
-#: Levels of needs that are followed before the rest counts as circular.
-MAX_LEVELS = 1000
+#: Tables of settled calls that are read together before they are written as one.
+PARTS = 40
+#: Bound of the lengths around circles, which would double without end; far above any number of calls.
+LONGEST = 1 << 60
 _TYPES = {
     "string": lambda v: isinstance(v, str),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
@@ -134,26 +137,42 @@ def parsed(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id and level of the calls that no circle holds up."""
+    """conv_id, id and level of the calls that no circle holds up.
+
+    A round settles the calls whose needs are all settled, and lets each need of a call
+    with one need left jump to that one (its level is the larger of a number and the
+    other's level plus a length, and such functions compose), so chains halve each round.
+    """
+    every = calls.select("conv_id", "id")
     needs = calls.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
-    there = calls.select("conv_id", F.col("id").alias("need"))
-    needs = written(needs.join(there, ["conv_id", "need"], "left_semi"), "needs")  # of ids that no call has, none can be waited for
-    free = calls.select("conv_id", "id").join(needs.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
-    done = written(free.withColumn("level", F.lit(1).cast("long")), "levels")
-    total = needs.select("conv_id", "id").distinct().count()
-    settled = 0
-    for _ in range(MAX_LEVELS if total else 0):
-        known = done.select("conv_id", F.col("id").alias("need"), "level")
-        waits = needs.join(known, ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.max("level").alias("top"), F.count("*").alias("n"), F.count("level").alias("m"))
-        ready = waits.where("n = m").select("conv_id", "id", (F.col("top") + 1).alias("level"))
-        nxt = written(free.withColumn("level", F.lit(1).cast("long")).union(ready), "levels")
-        now = nxt.count()
-        dropped(done)
-        done, before = nxt, settled
-        settled = now
-        if now == before:
-            break
-    return done
+    there = every.select("conv_id", F.col("id").alias("need"))
+    needs = needs.join(there, ["conv_id", "need"], "left_semi")  # of ids that no call has, none can be waited for
+    #  ``length``: levels above the need; ``least``: the level that settled needs ask for.
+    edges = written(needs.select("conv_id", "id", "need", F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("least")), "needs")
+    settled = written(every.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(1).cast("long")), "levels")
+    parts = [settled]
+    while edges.limit(1).count() and settled.limit(1).count():
+        known = settled.select("conv_id", F.col("id").alias("need"), F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("more"), F.col("level").alias("at"))
+        single = edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("need").alias("to"), F.min("length").alias("more"), F.max("least").alias("at")).where("n = 1")
+        #  A need that is settled just now is taken in first, as nothing could meet it later.
+        single = single.join(settled.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_anti")
+        known = known.union(single.select("conv_id", F.col("id").alias("need"), "to", "more", "at"))
+        met = edges.join(known, ["conv_id", "need"], "left")
+        least = F.greatest("least", F.when(F.col("at").isNotNull(), F.least(F.col("at") + F.col("length"), F.lit(LONGEST))))
+        on = F.when(F.col("at").isNull(), F.col("need")).otherwise(F.col("to"))
+        met = met.select("conv_id", "id", on.alias("need"), F.least(F.col("length") + F.coalesce("more", F.lit(0)), F.lit(LONGEST)).alias("length"), least.alias("least"))
+        met = written(met.groupBy("conv_id", "id", "need").agg(F.max("length").alias("length"), F.max("least").alias("least")), "met")
+        of = met.groupBy("conv_id", "id").agg(F.max("least").alias("level"), F.count("need").alias("left"))
+        of = written(of, "rounds")
+        settled = written(of.where("left = 0").select("conv_id", "id", "level"), "levels")
+        rest = met.where("need is not null").join(of.where("left > 0").select("conv_id", "id", "level"), ["conv_id", "id"])
+        nxt = written(rest.select("conv_id", "id", "need", "length", F.col("level").alias("least")), "needs")
+        dropped(edges), dropped(met), dropped(of)
+        edges = nxt
+        parts.append(settled)
+        if len(parts) > PARTS:
+            parts = [written(reduce(DataFrame.union, parts), "levels")]
+    return reduce(DataFrame.union, parts)
 
 
 def linked(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
