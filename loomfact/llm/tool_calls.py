@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, maybe_broadcast, written
+from .common import dropped, written
 
 #: Tables of settled calls that are read together before they are written as one.
 PARTS = 40
@@ -187,7 +187,11 @@ def linked(conversations: DataFrame, schemas: dict[str, dict] | None = None) ->
     results = rows.where("kind = 'result' and conv_id is not null and turn is not null").groupBy(*same).agg(F.min(F.struct("turn", "body")).alias("r"))
     known = first.join(_levels(first), same, "left").join(results, same, "left")
     known = known.select(*same, "first", "level", "r").withColumn("hit", F.lit(True))
-    out = rows.join(maybe_broadcast(written(known, "linked")), same, "left")
+    #  Bodies may be long, so the tables shuffle; rows without an id have nothing to meet and stay where they are.
+    meets = F.col("id").isNotNull() & F.col("conv_id").isNotNull()
+    known = written(known, "linked")
+    out = rows.where(meets).join(known, same, "left")
+    out = out.unionByName(rows.where(~meets), allowMissingColumns=True)
     own = (F.col("kind") == "call") & (order == F.col("first"))
     result = F.when(own & (F.col("r.turn") > F.col("turn")), F.col("r.body"))
     error = F.when(F.col("kind") != "call", None).otherwise(F.coalesce("error", F.when(F.col("id").isNotNull() & F.col("conv_id").isNotNull() & ~F.coalesce(own, F.lit(False)), "id repeats"), F.when(own & F.col("level").isNull(), "circular")))

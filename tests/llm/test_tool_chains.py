@@ -32,3 +32,9 @@ def test_levels_of_long_chains_and_circles(spark):
     assert {(r.conv_id, r.call_id): r.level for r in got} == want
     assert all((r.error == "circular") == (r.level is None) for r in got)
     assert [r.conv_id for r in got if r.linked] == [1]
+
+
+def test_bodies_are_not_hinted_for_broadcast(spark):
+    df = spark.createDataFrame([one(1, 0, "a", [])], "conv_id long, turn long, role string, text string")
+    plan = tool_calls.linked(df)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan
