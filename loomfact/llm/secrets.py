@@ -15,6 +15,7 @@ by :func:`redacted`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,50 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Class of a candidate, its pattern and the least bits of entropy of a window.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 2.95), ("upper", r"^[A-Z0-9]+$", 3.45), ("mixed", r"", 3.85))
-#: Candidates that are no secrets: UUIDs, placeholders, content hashes with their prefix, words joined by dashes, underscores or slashes.
+#: Candidates that are no secrets: UUIDs, placeholders, content hashes with their prefix.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|x{6,}|0{8,}",
     r"^sha(1|256|384|512)[-_=]",
-    r"^/?([A-Za-z]*|[0-9]*)([-_/=]([A-Za-z]*|[0-9]*))*$",
 )
+#: Words and numbers joined by dashes, underscores or slashes are no secrets: in others, letters and digits touch somewhere, or there is a plus.
+#: No group stands under a star here, as such a group costs the regex engine a stack frame each time.
+MINGLED = r"[A-Za-z][0-9]|[0-9][A-Za-z]|\+"
+#: Elements of an array, and characters of a candidate, that one fold takes.
+PIECE = 128
+RUN = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(xs: Column, size: int, overlap: int = 0) -> Column:
+    """Consecutive pieces of an array, each with up to ``overlap`` elements of the one before in front."""
+    cuts = lambda all_of: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_of)), F.lit(size))
+    part = lambda all_of, at: F.slice(all_of, F.greatest(F.lit(1), at - overlap), size + F.least(F.lit(overlap), at - 1))
+    return _let(xs, lambda all_of: F.transform(cuts(all_of), lambda at: part(all_of, at)))
+
+
+def _running(xs: Column, own: Callable[[Column], Column], combine: Callable[[Column, Column], Column], given: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The arrays ``given(before, x)`` of all elements of ``xs``, joined; ``before`` combines the numbers ``own`` of the elements before.
+
+    A fold copies its state at each step, arrays too, so one fold over all would take time
+    with the square of their number. Each piece of ``xs`` is folded on its own instead,
+    from what the pieces before it come to.
+    """
+    none, numbers = F.expr(f"cast(array() as array<{kind}>)"), F.expr("cast(array() as array<int>)")
+
+    def joined(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: combine(n, own(x))))
+        add = lambda s, t: F.struct(combine(s["at"], t).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        before = F.aggregate(totals, F.struct(F.lit(0).alias("at"), numbers.alias("out")), add, lambda s: s["out"])
+        one = lambda s, x: F.struct(combine(s["at"], own(x)).alias("at"), F.concat(s["out"], given(s["at"], x)).alias("out"))
+        fold = lambda z: F.aggregate(z["piece"], F.struct(z["before"].alias("at"), none.alias("out")), one, lambda s: s["out"])
+        return F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), before.alias("before")), fold))
+
+    return _let(_pieces(xs, PIECE), joined)
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -50,15 +88,12 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(found.alias("found"), values.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    length = lambda x: x["gap"] + F.char_length(x["found"])
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.char_length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def given(at: Column, x: Column) -> Column:
+        return F.array(F.struct((at + x["gap"]).alias("start"), (at + length(x)).alias("end"), x["value"].alias("value")))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    return _running(rows, length, lambda a, b: a + b, given, "struct<start:int,end:int,value:string>")
 
 
 def _when(text: Column, hint: str, found: Column) -> Column:
@@ -71,24 +106,14 @@ def _entropy_runs(value: Column, threshold: Column) -> Column:
 
     The fold keeps the counts of the window's characters and the sum of c * log2(c) over
     them; a step takes one character in and one out and so changes two terms of the sum.
+    It starts anew for each piece of ``value``, a window before the piece's own windows,
+    and runs that touch across pieces join afterwards.
     """
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     chars = F.slice(F.split(value, "", -1), F.lit(1), F.char_length(value))
-    enter = F.transform(chars, lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
-    leave = F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(enter, F.lit(1), F.size(enter) - WINDOW))
-    spans = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0).alias("at"),
-        F.lit(0).alias("from"),
-        F.lit(0).alias("to"),
-        spans.alias("out"),
-    )
-
-    def closed(s: Column) -> Column:
-        one = F.struct(s["from"].alias("start"), s["to"].alias("end"))
-        return F.when(s["to"] > 0, F.concat(s["out"], F.array(one))).otherwise(s["out"])
+    places = F.transform(chars, lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
+    leaving = lambda p: F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(p, F.lit(1), F.size(p) - WINDOW))
 
     def step(s: Column, x: Column) -> Column:
         gone = F.when(x["leave"] < 0, F.lit(0)).otherwise(F.get(s["counts"], x["leave"]))
@@ -97,7 +122,7 @@ def _entropy_runs(value: Column, threshold: Column) -> Column:
         total = s["sum"] + less + F.get(terms, had + 1) - F.get(terms, had)
         counts = F.transform(s["counts"], lambda c, k: c + (k == x["enter"]).cast("int") - (k == x["leave"]).cast("int"))
         end = s["at"] + 1
-        hit = (end >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= threshold)
+        hit = (end >= s["first"]) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= s["least"])
         apart = hit & ((s["to"] == 0) | (s["to"] < end - WINDOW))
         return F.struct(
             counts.alias("counts"),
@@ -105,16 +130,42 @@ def _entropy_runs(value: Column, threshold: Column) -> Column:
             end.alias("at"),
             F.when(apart, end - WINDOW).otherwise(s["from"]).alias("from"),
             F.when(hit, end).otherwise(s["to"]).alias("to"),
-            F.when(apart, closed(s)).otherwise(s["out"]).alias("out"),
+            F.when(apart, opened(s)).otherwise(s["out"]).alias("out"),
+            s["first"].alias("first"),
+            s["least"].alias("least"),
+        )
+
+    def opened(s: Column) -> Column:
+        one = F.struct(s["from"].alias("start"), s["to"].alias("end"))
+        return F.when(s["to"] > 0, F.concat(s["out"], F.array(one))).otherwise(s["out"])
+
+    def of_piece(p: Column, k: Column, least: Column) -> Column:
+        """Runs of the windows that end in piece ``k``, which has WINDOW characters of the one before in front."""
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
+            F.lit(0.0).alias("sum"),
+            F.greatest(F.lit(0), k * RUN - WINDOW).alias("at"),
+            F.lit(0).alias("from"),
+            F.lit(0).alias("to"),
+            none.alias("out"),
+            F.greatest(F.lit(WINDOW), k * RUN).alias("first"),
+            least.alias("least"),
         )
+        return F.aggregate(F.arrays_zip(p.alias("enter"), leaving(p).alias("leave")), start, step, opened)
 
-    return F.aggregate(F.arrays_zip(enter.alias("enter"), leave.alias("leave")), start, step, closed)
+    def joined(runs: Column) -> Column:
+        begins = F.filter(runs, lambda x, i: (i == 0) | (F.get(runs, i - 1)["end"] < x["start"]))
+        ends = F.filter(runs, lambda x, i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["start"] > x["end"]))
+        return F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), e["end"].alias("end")))
+
+    runs = _let(threshold, lambda least: F.flatten(F.transform(_pieces(places, RUN, WINDOW), lambda p, k: of_piece(p, k, least))))
+    return _let(runs, joined)
 
 
 def _entropy(text: Column) -> Column:
     def wanted(c: Column) -> Column:
         v = c["value"]
-        return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~reduce(lambda a, b: a | b, [v.rlike(p) for p in ALLOWED])
+        return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & v.rlike(MINGLED) & ~reduce(lambda a, b: a | b, [v.rlike(p) for p in ALLOWED])
 
     def threshold(v: Column) -> Column:
         (_, hexa, low), (_, upper, mid), (_, _, high) = CLASSES
@@ -143,11 +194,15 @@ def with_spans(docs: DataFrame, text: Column) -> DataFrame:
     base = F.array_sort(F.concat(*(_ranked(k, i) for i, k in enumerate(kinds))))
     found = docs.withColumns({"__lf_base": base, "__lf_more": _ranked(_entropy(text), 3)})
 
-    def outside(e: Column) -> Column:
-        return ~F.exists("__lf_base", lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"]))
+    kind = "struct<start:int,rank:int,end:int>"
+    base_end = lambda x: F.when(x["rank"] < 3, x["end"]).otherwise(F.lit(0))
+
+    def outside(end: Column, x: Column) -> Column:
+        return F.when((x["rank"] < 3) | (x["end"] > end), F.array(x)).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
-    every = F.array_sort(F.concat("__lf_base", F.filter("__lf_more", outside)))
-    return found.withColumn("__lf_all", every).drop("__lf_more")
+    #  By start and kind, every base span that could hold an added one comes before it.
+    every = _running(F.array_sort(F.concat("__lf_base", "__lf_more")), base_end, F.greatest, outside, kind)
+    return found.withColumn("__lf_all", F.when(F.size("__lf_more") > 0, every).otherwise(F.col("__lf_base"))).drop("__lf_more")
 
 
 def _listed(spans: str) -> Column:
@@ -172,19 +227,21 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, base or added, replaced by ``mark``; n_chars follows where there is one."""
     spans = with_spans(docs, F.coalesce("text", F.lit("")))
-    none = F.expr("cast(array() as array<string>)")
+    kind = "struct<start:int,end:int>"
 
-    def cut(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])
-        apart = x["start"] >= s["at"]
-        parts = F.when(apart & ((x["start"] > s["at"]) | (s["at"] == 0)), F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), parts.alias("out"))
+    def given(at: Column, x: Column) -> Column:
+        """The clear part before a span that no span before reaches."""
+        apart = (x["start"] > at) | ((x["start"] == at) & (at == 0))
+        return F.when(apart, F.array(F.struct(at.alias("start"), x["start"].alias("end")))).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
-    def rest(s: Column) -> Column:
-        return F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.char_length("text")))
+    def rest(chars: Column) -> Column:
+        """The clear parts, with the mark between them and before what follows the last span."""
+        clear = _running(F.col("__lf_all"), lambda x: x["end"], F.greatest, given, kind)
+        parts = F.transform(clear, lambda g: F.array_join(F.slice(chars, g["start"] + 1, g["end"] - g["start"]), ""))
+        last = F.array_max(F.transform("__lf_all", lambda x: x["end"]))
+        return F.array_join(F.concat(parts, F.array(F.array_join(F.slice(chars, last + 1, F.size(chars)), ""))), mark)
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    text = F.when(F.size("__lf_all") > 0, F.aggregate("__lf_all", start, cut, rest)).otherwise(F.col("text"))
+    text = F.when(F.size("__lf_all") > 0, _let(F.split("text", "", -1), rest)).otherwise(F.col("text"))
     out = spans.withColumn("text", text).drop("__lf_base", "__lf_all")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
