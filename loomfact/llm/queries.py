@@ -58,16 +58,52 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+#: The tool of :func:`with_calls` and the schema of its arguments.
+MEASURE = {"measure": {"type": "object", "properties": {"chars": {"type": "integer"}, "after": {"type": "string"}}, "required": ["chars"], "additionalProperties": False}}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """Chats in which every assistant's message calls a tool, as the table itself has no calls.
+
+    The call tells the message's length, and needs the call of two turns before. So that
+    all branches of the operator have rows: by the length, a tenth call an unknown tool, a
+    seventh break the schema, an eleventh need themselves, and a fifth get no result.
+    Turns are doubled; a result stands between its call and the next message.
+    """
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    turn = F.col("turn").cast("string")
+    own = F.concat(F.lit("c"), turn)
+    after = F.concat(F.lit("$c"), F.when(n % 11 == 0, F.col("turn")).otherwise(F.col("turn") - 2).cast("string"))
+    chars = F.when(n % 7 == 0, '"many"').otherwise(n.cast("string"))
+    arguments = F.concat(F.lit('{"after":"'), after, F.lit('","chars":'), chars, F.lit("}"))
+    call = F.struct(own.alias("id"), F.when(n % 10 == 0, "lost").otherwise("measure").alias("name"), arguments.alias("arguments"))
+    asked = F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls")))
+    speaks = F.coalesce(F.col("role") == "assistant", F.lit(False)) & F.col("turn").isNotNull()
+    rows = conversations.select("conv_id", (F.col("turn") * 2).alias("turn"), "role", F.when(speaks, asked).otherwise(F.col("text")).alias("text"))
+    answer = F.to_json(F.struct(own.alias("tool_call_id"), F.struct(n.alias("chars")).alias("content")))
+    results = conversations.where(speaks & (n % 5 != 0)).select("conv_id", (F.col("turn") * 2 + 1).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    return rows.union(results)
+
+
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linked_calls(table(spark, sf_dir, "conversations"))
+    rows = linked_calls(with_calls(table(spark, sf_dir, "conversations")), MEASURE)
     return rows.fillna({"call_id": "", "level": 0, "linked": False, "error": ""})
 
 
-#: For conversations without tool calls, as those of the table are.
 OP7_SQL = """
-SELECT conv_id, turn, role, 'message' AS kind, 0::BIGINT AS pos, '' AS call_id, 0::BIGINT AS level, false AS linked,
-       '' AS error, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
-FROM conversations
+WITH RECURSIVE b AS (SELECT conv_id, turn, role, text, coalesce(length(text), 0) AS n FROM conversations),
+c AS (SELECT conv_id, turn, n, text, 'c' || turn AS id, CASE WHEN n % 10 = 0 THEN 'lost' ELSE 'measure' END AS name, 'c' || (CASE WHEN n % 11 = 0 THEN turn ELSE turn - 2 END) AS need,
+             CASE WHEN n % 7 = 0 THEN '"many"' ELSE n::VARCHAR END AS chars FROM b WHERE role = 'assistant' AND turn IS NOT NULL),
+d AS (SELECT *, '{"arguments":{"after":"$' || need || '","chars":' || chars || '},"id":"' || id || '","name":"' || name || '"}' AS body,
+             CASE WHEN name = 'lost' THEN 'unknown tool' WHEN n % 7 = 0 THEN 'arguments.chars: not integer' ELSE '' END AS error FROM c),
+lv(conv_id, id, level) AS (SELECT d.conv_id, d.id, 1::BIGINT FROM d LEFT JOIN d e ON e.conv_id = d.conv_id AND e.id = d.need WHERE e.id IS NULL
+  UNION ALL SELECT d.conv_id, d.id, lv.level + 1 FROM d JOIN lv ON lv.conv_id = d.conv_id AND lv.id = d.need),
+k AS (SELECT d.*, coalesce(lv.level, 0) AS level, '{"content":{"chars":' || n || '},"role":"tool","tool_call_id":"' || d.id || '"}' AS answer FROM d LEFT JOIN lv USING (conv_id, id))
+SELECT conv_id, turn * 2 AS turn, role, 'message' AS kind, 0::BIGINT AS pos, '' AS call_id, 0::BIGINT AS level, false AS linked, '' AS error,
+       '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || CASE WHEN role = 'assistant' AND turn IS NOT NULL THEN ',"tool_calls":["c' || turn || '"]' ELSE '' END || '}' AS json FROM b
+UNION ALL SELECT conv_id, turn * 2, 'assistant', 'call', 0, id, level, n % 5 <> 0, CASE WHEN error <> '' THEN error WHEN level = 0 THEN 'circular' ELSE '' END,
+       CASE WHEN n % 5 <> 0 THEN '{"call":' || body || ',"result":' || answer || '}' ELSE body END FROM k
+UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', 'result', 0, id, 0, true, '', answer FROM k WHERE n % 5 <> 0
 """
 
 
