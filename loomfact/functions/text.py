@@ -49,13 +49,17 @@ def noise_kind(line: Column) -> Column:
     return out
 
 
-def noise_confidence(kind: Column) -> Column:
-    return F.coalesce(*(F.when(kind == k, F.lit(c)) for k, _, c in NOISE))
+def noise_confidence(line: Column) -> Column:
+    """The confidence of the first kind of noise that a line is, null for none; each pattern is tried once at most."""
+    out = None
+    for _, pattern, confidence in NOISE:
+        out = F.when(line.rlike(pattern), confidence) if out is None else out.when(line.rlike(pattern), confidence)
+    return out
 
 
 def cleaned(df: DataFrame, key: str, text: str, least: int = 80) -> DataFrame:
     """``df`` with the lines of at least ``least`` percent confidence taken out; row by row, without a shuffle."""
-    keep = F.filter(F.split(text, "\n"), lambda x: F.coalesce(noise_confidence(noise_kind(x)) < least, F.lit(True)))
+    keep = F.filter(F.split(text, "\n"), lambda x: F.coalesce(noise_confidence(x) < least, F.lit(True)))
     return df.withColumn("removed", (F.size(F.split(text, "\n")) - F.size(keep)).cast("long")).withColumn(text, F.array_join(keep, "\n"))
 
 

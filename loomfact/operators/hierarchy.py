@@ -99,33 +99,42 @@ def arborescence(edges: list[tuple[str, str, float]], root: str) -> dict[str, st
     for c, p, w in [*((n, root, low) for n in sorted(nodes) if n != root), *edges]:
         if c != root and c != p and (p not in incoming[c] or incoming[c][p][0] < w):
             incoming[c][p] = (w, (c, p))
-    kept = _branching(dict(incoming), root, 0)
-    return dict(kept)
-
-
-def _branching(incoming: dict, root: object, level: int) -> set[tuple[str, str]]:
-    best = {c: max(sorted(ps, key=str), key=lambda p: ps[p][0]) for c, ps in incoming.items()}
-    cycle = _cycle(best)
-    if not cycle:
-        return {incoming[c][p][1] for c, p in best.items()}
-    name = ("cycle", level, len(incoming))
-    merged: dict[object, dict] = defaultdict(dict)
-    into: dict[tuple[str, str], object] = {}  # the cycle's node that an edge from outside enters
-    for c, ps in incoming.items():
-        for p, (w, e) in ps.items():
-            a, b = (name if c in cycle else c), (name if p in cycle else p)
-            if a == b:
-                continue
-            if c in cycle:
-                w -= incoming[c][best[c]][0]
-            if b not in merged[a] or merged[a][b][0] < w:
-                merged[a][b] = (w, e)
-            if a == name:
-                into[e] = c
-    found = _branching(dict(merged), root, level + 1)
-    #  Inside the cycle all edges stay but the one into the node that is entered from outside.
-    entered = {into[e] for _, e in merged[name].values() if e in found}
-    return found | {incoming[c][best[c]][1] for c in cycle if c not in entered}
+    return dict(_branching(dict(incoming)))
+
+
+def _branching(incoming: dict) -> set[tuple[str, str]]:
+    """Edges of the best branching of ``incoming`` (node -> parent -> weight and edge).
+
+    Cycles are contracted one after the other; then they are opened again, the last first:
+    all edges inside stay but the one into the node that is entered from outside.
+    """
+    contracted = []
+    while True:
+        best = {c: max(sorted(ps, key=str), key=lambda p: ps[p][0]) for c, ps in incoming.items()}  # noqa: B023
+        cycle = _cycle(best)
+        if not cycle:
+            break
+        name = ("cycle", len(contracted))
+        outer: dict[object, dict] = defaultdict(dict)
+        into: dict[tuple[str, str], object] = {}  # the cycle's node that an edge from outside enters
+        for c, ps in incoming.items():
+            for p, (w, e) in ps.items():
+                a, b = (name if c in cycle else c), (name if p in cycle else p)
+                if a == b:
+                    continue
+                if c in cycle:
+                    w -= incoming[c][best[c]][0]
+                if b not in outer[a] or outer[a][b][0] < w:
+                    outer[a][b] = (w, e)
+                if a == name:
+                    into[e] = c
+        contracted.append((name, outer, into, {c: incoming[c][best[c]][1] for c in cycle}))
+        incoming = dict(outer)
+    found = {incoming[c][p][1] for c, p in best.items()}
+    for name, outer, into, inside in reversed(contracted):
+        entered = {into[e] for _, e in outer[name].values() if e in found}
+        found |= {e for c, e in inside.items() if c not in entered}
+    return found
 
 
 def _cycle(best: dict) -> set:

@@ -34,7 +34,7 @@ def ungrounded(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
 def contained(names: DataFrame, docs: DataFrame, key: str, text: str, block: int = 3) -> DataFrame:
     """(key, name) for names that occur anywhere in a text: blocked by their first ``block`` letters.
 
-    The distinct starts of the text are joined with the names' starts; only those pairs are
+    The distinct starts of the texts are joined with the names' starts; only those pairs are
     searched for. Names shorter than the block are looked up under their own length.
     """
     sizes = sorted(r[0] for r in names.select(F.least(F.char_length("name"), F.lit(block))).distinct().collect())  # at most ``block`` values
@@ -42,12 +42,14 @@ def contained(names: DataFrame, docs: DataFrame, key: str, text: str, block: int
     parts = []
     for n in sizes:
         starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
-        own = docs.where(F.char_length(text) >= n).select(key, text, F.explode(starts).alias("start"))
-        parts.append(own.join(keyed.where(F.char_length("start") == n), "start").where(F.contains(F.col(text), F.col("name"))).select(key, "name"))
+        own = docs.where(F.char_length(text) >= n).select(key, F.explode(starts).alias("start"))
+        parts.append(own.join(keyed.where(F.char_length("start") == n), "start").select(key, "name"))
     out = parts[0] if parts else docs.select(key, F.lit("").alias("name")).limit(0)
     for p in parts[1:]:
         out = out.union(p)
-    return out
+    #  Keys, not texts, went through the join above; the texts come to the pairs that are left.
+    found = out.join(docs.select(F.col(key), F.col(text).alias("__text")), key)
+    return found.where(F.contains("__text", F.col("name"))).select(key, "name")
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:

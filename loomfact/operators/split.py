@@ -80,11 +80,12 @@ def split_points(books: DataFrame, key: str, text: str, points: str) -> DataFram
     """Chapters cut at given offsets (an array column, from 0); the title is a short first line."""
     size = F.char_length(text)
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(points, lambda p: (p > 0) & (p < size)))))
-    rows = books.select(key, text, F.posexplode(cuts).alias("i", "a"), cuts.alias("cuts"))
-    end = F.coalesce(F.get("cuts", F.col("i") + 1), size)
-    body = F.substring(F.col(text), F.col("a") + 1, end - F.col("a"))
-    first = F.trim(F.split(body, "\n")[0])
-    return rows.select(key, (F.col("i") + 1).cast("long").alias("chapter"), F.when(F.char_length(first) <= 40, first).otherwise("").alias("title"), body.alias("content"))
+    ends = F.concat(F.slice(cuts, F.lit(2), F.size(cuts)), F.array(size))
+    #  Only the parts leave the row, so a book is not copied for each of them.
+    parts = F.zip_with(cuts, ends, lambda a, e: F.substring(F.col(text), a + 1, e - a))
+    rows = books.select(key, F.posexplode(parts).alias("i", "content"))
+    first = F.trim(F.split("content", "\n")[0])
+    return rows.select(key, (F.col("i") + 1).cast("long").alias("chapter"), F.when(F.char_length(first) <= 40, first).otherwise("").alias("title"), "content")
 
 
 def split_books(books: DataFrame, key: str, text: str, pattern: str | None = None, modes: dict[str, str] = MODES) -> DataFrame:

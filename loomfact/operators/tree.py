@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .graph import cut
 
-MAX_DOUBLINGS = 24
-
 
 def roots(edges: DataFrame) -> DataFrame:
     """Parents that are no child."""
@@ -26,38 +24,45 @@ def lifted(edges: DataFrame) -> DataFrame:
     one = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
     top = roots(edges).select("node", F.lit(None).cast(edges.schema["parent"].dataType).alias("up"), F.lit(0).cast("long").alias("depth"))
     state, before = cut(one.union(top).withColumn("root", F.when(F.col("up").isNull(), F.col("node")))), -1
-    for _ in range(MAX_DOUBLINGS):
+    while True:
         above = state.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("root").alias("a_root"))
         j = state.join(above, F.col("up") == F.col("a"), "left")
         nxt = j.select("node", F.when(F.col("a_root").isNull(), F.col("a_up")).alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"), F.coalesce("root", "a_root").alias("root"))
         state = cut(nxt)
         left = state.where("root is null").count()
-        if left == 0 or left == before and _ > 20:
+        if left in (0, before):  # a round that reaches no further node leaves only those on and below cycles
             break
         before = left
     return state.select("node", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
 
 
-def chains(edges: DataFrame, most: int = 20) -> DataFrame:
-    """node and its chain of ancestors, nearest first, joined by ' > '; stops before a repeat."""
-    state = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.array(F.col("child"), F.col("parent")).alias("path"))
-    state = cut(state)
-    done = None
-    up = edges.select(F.col("child").alias("c"), F.col("parent").alias("p"))
-    for _ in range(most):
-        j = state.join(up, F.col("up") == F.col("c"), "left")
-        more = F.col("p").isNotNull() & ~F.array_contains("path", F.col("p"))
-        end = j.where(~more).select("node", "path")
-        done = end if done is None else done.union(end)
-        state = cut(j.where(more).select("node", F.col("p").alias("up"), F.concat("path", F.array("p")).alias("path")))
-        if not state.limit(1).count():
-            break
-    return done.select("node", F.array_join(F.slice("path", F.lit(2), F.size("path")), " > ").alias("chain"), (F.size("path") - 1).cast("long").alias("length"))
-
+def chains(edges: DataFrame) -> DataFrame:
+    """node and its chain of ancestors, nearest first, joined by ' > '; stops before a repeat.
 
-def depth_first(edges: DataFrame, most: int = 20) -> DataFrame:
+    Below a root the chains double each round: a chain is the one so far and that of its
+    last node. On and below cycles they grow by one node a round, up to the first repeat.
+    """
+    own = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    stuck = cut(lifted(edges).where("root is null").select("node"))
+    state = cut(own.join(stuck, "node", "left_anti").select("node", "up", F.array("up").alias("path")))
+    while state.where("up is not null").limit(1).count():
+        above = state.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
+        j = state.join(above, F.col("up") == F.col("a"), "left")
+        state = cut(j.select("node", F.col("a_up").alias("up"), F.when(F.col("a").isNull(), F.col("path")).otherwise(F.concat("path", "a_path")).alias("path")))
+    done = state.select("node", "path")
+    state = own.join(stuck, "node", "left_semi").select("node", "up", F.array("node", "up").alias("path"))
+    state = cut(state.where("node <> up"))
+    above = own.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
+    while state.limit(1).count():
+        j = cut(state.join(above, F.col("up") == F.col("a"), "left").withColumn("more", ~F.array_contains("path", F.col("a_up"))))
+        done = done.union(j.where(~F.col("more")).select("node", F.slice("path", F.lit(2), F.size("path"))))
+        state = j.where("more").select("node", F.col("a_up").alias("up"), F.concat("path", F.array("a_up")).alias("path"))
+    return done.select("node", F.array_join("path", " > ").alias("chain"), F.size("path").cast("long").alias("length"))
+
+
+def depth_first(edges: DataFrame) -> DataFrame:
     """node, depth and its path from the root, by which rows sort in pre-order (children by name)."""
-    up = chains(edges, most)
+    up = chains(edges)
     path = F.reverse(F.split(F.concat_ws(" > ", F.col("node").cast("string"), "chain"), " > "))
     tops = roots(edges).select(F.col("node"), F.col("node").cast("string").alias("path"), F.lit(0).cast("long").alias("depth"))
     return up.select("node", F.array_join(path, " > ").alias("path"), F.col("length").alias("depth")).unionByName(tops.select("node", "path", "depth"))

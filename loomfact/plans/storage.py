@@ -247,9 +247,9 @@ def recover_stale(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "P", "paused").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
-@query("backfill_tasks", "SELECT c_custkey AS novel FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("backfill_tasks", "SELECT c_custkey AS novel FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def backfill_tasks(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("novel")).join(t.orders.select(F.col("o_custkey").alias("novel")), "novel", "left_anti")
+    return t.customer.select(F.col("c_custkey").alias("novel")).join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("novel")), "novel", "left_anti")
 
 
 @query(

@@ -105,9 +105,9 @@ def naming_patterns(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(found).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("search_chapters", "SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s) || CASE WHEN e <= length(text) THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, text, greatest(instr(lower(text), 'password') - 50, 1) AS s, least(instr(lower(text), 'password') + 8 + 50, length(text) + 1) AS e FROM documents WHERE contains(lower(text), 'password') ORDER BY doc_id LIMIT 50)")
+@query("search_chapters", "SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s) || CASE WHEN e <= length(text) THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, text, greatest(instr(lower(text), ' the ') - 50, 1) AS s, least(instr(lower(text), ' the ') + 5 + 50, length(text) + 1) AS e FROM documents WHERE contains(lower(text), ' the ') ORDER BY doc_id LIMIT 50)")
 def search_chapters(t: Tables) -> DataFrame:
-    return retrieval.search(t.documents, "doc_id", "text", "password", 50)
+    return retrieval.search(t.documents, "doc_id", "text", " the ", 50)
 
 
 @query("count_occurrences", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n FROM documents WHERE contains(text, 'the')")
@@ -127,9 +127,9 @@ def ungrounded_names(t: Tables) -> DataFrame:
     return retrieval.ungrounded(part.union(bench), t.documents, "doc_id", "text")
 
 
-@query("names_in_questions", "SELECT conv_id, turn, word AS name FROM (SELECT DISTINCT substr(text, 1, 12) AS word FROM benchmark) b JOIN conversations c ON contains(c.text, b.word)")
+@query("names_in_questions", r"SELECT conv_id, turn, word AS name FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS word FROM benchmark) b JOIN conversations c ON contains(c.text, b.word)")
 def names_in_questions(t: Tables) -> DataFrame:
-    names = t.benchmark.select(F.substring("text", 1, 12).alias("name")).distinct()
+    names = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1))).alias("name")).distinct()
     keyed = t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text")
     return retrieval.contained(names, keyed, "k", "text").select("k.conv_id", "k.turn", "name")
 

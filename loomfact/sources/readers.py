@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Bytes by which an encoding is tried.
-SAMPLE_BYTES = 100_000
 # ---- fixed values: the columns of the GeoNames dump, in its order
 GEONAMES = """geonameid long, name string, asciiname string, alternatenames string, lat double, lng double, feature_class string, feature_code string, country string,
 cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population long, elevation int, dem int, timezone string, modified string"""
@@ -16,20 +14,17 @@ cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, populati
 
 
 def decoded_text(raw: bytes | None) -> str:
-    """Text of a file: by its mark, else UTF-8, else GB18030, else UTF-8 with replacements."""
+    """Text of a file: by its mark, else as the first of UTF-8 and GB18030 that the whole file is, else UTF-8 with replacements."""
     if not raw:
         return ""
     for mark, kind in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if raw.startswith(mark):
             return raw[len(mark) :].decode(kind, "replace")
     for kind in ("utf-8", "gb18030"):
-        for trim in range(4):  # the sample may end inside a character
-            try:
-                sample = raw[:SAMPLE_BYTES]
-                (sample[: len(sample) - trim] if trim and len(raw) > SAMPLE_BYTES else sample).decode(kind)
-                return raw.decode(kind, "replace")
-            except UnicodeDecodeError:
-                continue
+        try:
+            return raw.decode(kind)
+        except UnicodeDecodeError:
+            continue
     return raw.decode("utf-8", "replace")
 
 

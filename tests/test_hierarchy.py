@@ -113,3 +113,26 @@ def test_latest_and_rollback(spark):
     v = spark.createDataFrame([("n", 1, "a"), ("n", 2, "b")], "novel string, version int, tree string")
     assert store.latest(v, ["novel"], "version").collect()[0].tree == "b"
     assert {(r.version, r.tree) for r in store.rollback(v, "novel", F.lit(1)).collect()} == {(1, "a"), (2, "b"), (3, "a")}
+
+
+def test_chains_of_any_depth_and_around_cycles(spark):
+    deep = [(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 51)]
+    edges = spark.createDataFrame([*deep, ("a", "b"), ("b", "c"), ("c", "b"), ("s", "s")], "child string, parent string")
+    got = {r.node: (r.chain, r.length) for r in tree.chains(edges).collect()}
+    assert got["n050"] == (" > ".join(f"n{i:03}" for i in range(49, -1, -1)), 50) and got["n001"] == ("n000", 1)
+    assert got["a"] == ("b > c", 2) and got["b"] == ("c", 1) and got["c"] == ("b", 1)
+    assert len(got) == 53
+
+
+def test_waiting_pairs_join_on_evidence():
+    big = [("aa", f"x{i}", 1) for i in range(6)]
+    assert "x5" not in aliases.merged(big, {}, {"aa"})  # five names are there already
+    assert aliases.merged([*big[:5], ("aa", "x5", 3)], {}, {"aa"})["x5"] == "aa"
+    assert aliases.merged([("aa", "bb", 4)], {"aa": 9}, {"aa", "bb"}) == {"bb": "aa"}
+
+
+def test_many_nested_cycles_need_no_recursion():
+    n = 400
+    edges = [(f"v{i}", f"v{i - 1}", 10.0 + i) for i in range(1, n)] + [(f"v{i}", f"v{i + 1}", 9.0 + i) for i in range(n - 1)]
+    got = hierarchy.arborescence(edges, "r")
+    assert len(got) == n and list(got.values()).count("r") == 1
