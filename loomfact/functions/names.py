@@ -102,3 +102,77 @@ def alias_safety(alias: Column) -> Column:
 
 def is_nickname(name: Column) -> Column:
     return F.coalesce(*(F.when(F.endswith(name, F.lit(h)), True) for h in HONORIFICS), F.lit(False)) | name.rlike("^(小|老|阿).$")
+
+
+# ---- fixed values: architectural characters, realm characters, surnames, titles, verbs of events, directions and their opposites, words of questions
+ARCHITECTURE = "门道廊厅堂殿阁楼房室间院墙窗阶梯井亭台榭轩斋"
+REALM = "幻梦仙灵冥虚魔"
+SURNAMES = "贾史王薛林李张刘陈杨赵孙周吴郑冯褚卫蒋沈韩朱秦尤许何吕曹魏蔡宋郭潘范彭鲁马苗花方任袁柳酆鲍雷贺倪汤殷苏黄"
+RESIDENT_TITLES = ("夫人", "老爷", "太太", "姑娘", "小姐", "奶奶", "嫂子", "姨妈", "姐姐", "妹妹", "哥哥", "弟弟")
+NO_RESIDENTS = ("出", "住", "去", "归", "深", "高阜", "别", "来", "过", "到")
+EVENT_VERBS = "插打杀死烧逃逮擒困埋葬砍斩缢吊投跳溺捆绑尽毙亡殁败"
+OPPOSITES = {"north_of": "south_of", "east_of": "west_of", "northeast_of": "southwest_of", "northwest_of": "southeast_of"}
+URL_MARKS = r"(?i)https?://|www\.|\.com|\.cn|\.net|\.org|\.txt"
+INVALID_KINDS = {"item": "出现", "org": "加入"}
+# ----
+#: Example of names that many buildings have, and of words in questions with the relation types that they ask for.
+HOMONYMS = ("夹道", "角门", "后门", "正房", "书房", "花园", "皇宫", "山洞")
+ASKED_RELATIONS = (("恋人", ("恋人", "爱慕", "夫妻")), ("师徒", ("师徒", "传授")), ("敌人", ("敌对", "仇敌")), ("朋友", ("朋友", "知己")))
+
+
+def is_homonym_prone(name: Column) -> Column:
+    """Names that several buildings of a novel have: listed, or at most two characters that all name parts of buildings."""
+    return name.isin(*HOMONYMS) | name.rlike(f"^[{ARCHITECTURE}]{{0,2}}$")
+
+
+def is_surname_shi(name: Column, surnames: str = SURNAMES) -> Column:
+    return name.rlike(f"^[{surnames}]氏$")
+
+
+def is_realm(name: Column) -> Column:
+    return name.rlike(f"[{REALM}]")
+
+
+def is_residence(name: Column, parent_tier: Column, titles: tuple[str, ...] = RESIDENT_TITLES, surnames: str = SURNAMES) -> Column:
+    """Whether a name ending in 府 is a house: of a title, of a surname, or inside a city, kingdom or continent."""
+    owner = name.rlike(f"({'|'.join(titles)})府$") | name.rlike(f"^[{surnames}].?府$")
+    return name.rlike("^.+府$") & (owner | F.coalesce(parent_tier.isin("city", "kingdom", "continent"), F.lit(False)))
+
+
+def is_place_of_person(name: Column, titles: tuple[str, ...] = RESIDENT_TITLES, surnames: str = SURNAMES) -> Column:
+    """Whether a name ending in 处 is where a person lives: by surname or title, or short and without the verb of an event."""
+    before = F.substring(name, 1, F.char_length(name) - 1)
+    person = (F.char_length(before) <= 5) & (before.rlike(f"^[{surnames}]") | before.rlike(f"({'|'.join(titles)})$"))
+    short = (F.char_length(before) <= 4) & ~before.rlike(f"[{EVENT_VERBS}]")
+    return name.rlike("^.+处$") & ~before.isin(*NO_RESIDENTS) & (person | short)
+
+
+def is_url_like(text: Column) -> Column:
+    """An address, also with spaces in between or in full-width letters."""
+    wide = "".join(chr(c + 0xFEE0) for c in [*range(65, 91), *range(97, 123), 46])
+    narrow = "".join(chr(c) for c in [*range(65, 91), *range(97, 123), 46])
+    return F.translate(F.replace(text, F.lit(" "), F.lit("")), wide, narrow).rlike(URL_MARKS)
+
+
+def asked_relations(question: Column, table: tuple[tuple[str, tuple[str, ...]], ...] = ASKED_RELATIONS) -> Column:
+    """Relation types that the first word of ``table`` in a question asks for, null for none."""
+    out = None
+    for word, kinds in table:
+        hit, value = F.contains(question, F.lit(word)), F.lit(",".join(kinds))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
+def opposing(kind: Column, other: Column, same: Column, reversed_: Column) -> Column:
+    """Whether two directions contradict: opposite ones between the same places, or equal ones between places the other way round."""
+    both = OPPOSITES | {v: k for k, v in OPPOSITES.items()}
+    against = F.coalesce(*(F.when(kind == k, other == v) for k, v in both.items()), F.lit(False))
+    return (against & (same | reversed_)) | ((kind == other) & reversed_)
+
+
+def normalised_variant(name: Column, exact: dict[str, str], characters: tuple[str, str]) -> Column:
+    """The usual form of a name: the table's for all of it, else character by character, and the table's again."""
+    def listed(c: Column) -> Column:
+        return F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in exact.items()), c)
+
+    return listed(F.translate(listed(name), *characters))

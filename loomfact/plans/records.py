@@ -190,7 +190,7 @@ def restored_contents(t: Tables) -> DataFrame:
 @query(
     "facts_markdown",
     """WITH f AS (SELECT l_orderkey AS chapter, l_linenumber AS pos, coalesce(a.canonical, 's' || l_suppkey) AS person, l_returnflag AS action FROM lineitem LEFT JOIN (SELECT 's' || s_suppkey AS alias, 'n' || s_nationkey AS canonical FROM supplier WHERE s_suppkey % 4 = 0) a ON a.alias = 's' || l_suppkey)
-SELECT chapter, '## ' || chapter || chr(10) || string_agg('- **' || person || '**: ' || action, chr(10) ORDER BY pos) AS markdown FROM f GROUP BY chapter""",
+SELECT chapter, '## ' || chapter || chr(10) || string_agg('- **' || person || '**: ' || action, chr(10) ORDER BY pos, '- **' || person || '**: ' || action) AS markdown FROM f GROUP BY chapter""",
 )
 def facts_markdown(t: Tables) -> DataFrame:
     """Each chapter's facts as Markdown, names resolved."""
