@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 48
+LEAF = 128
 #: Slack of the bounds, far above rounding and far below any distance of interest.
 SLACK = 1e-9
 

@@ -1,13 +1,12 @@
 """Near-duplicate vectors of equal label: exact cosine threshold pairs by cover trees.
 
-Equal vectors of a label are one row with a weight. Labels with more rows than a task
-should hold are cut into cells around pivots, the top level of their cover tree: a net
-over a bounded sample with halving radii. Large cells are cut once more by hash. Cells'
-real radii decide which pairs of cells meet at all; a row goes only to the cells whose
-ball, widened by the threshold, it reaches. Cells that lie within the threshold as a
-whole are linked by their sizes. Every task holds two cells at most, builds their cover
-trees and traverses them together; it returns a count and one edge for each row, so
-nothing is ever as large as the pairs.
+Equal vectors of a label are one row with a weight. Labels with more rows than a block
+are cut into cells around pivots, the top level of their cover tree: a net over a bounded
+sample with halving radii. Small cells share a block, large ones are cut by hash into
+several. A row goes only to the blocks that have a cell whose ball, widened by the
+threshold, it reaches; the driver knows cells and blocks, never pairs of them. Every task
+holds two blocks at most, builds their cover trees and traverses them together; it
+returns a count and one edge for each row, so nothing is ever as large as the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
 and rows with a null label, link with nothing; repeated vectors link with each other;
@@ -30,11 +29,13 @@ from .components import connected_components
 from .covertree import SLACK, CoverTree, Linker, distances
 
 COSINE = 0.93
-#: Rows of a cell; a task holds two cells.
-CELL_ROWS = 4096
-#: Pivots of all labels together, and rows of the sample that they are chosen from.
+#: Rows of a block; a task holds two blocks.
+BLOCK_ROWS = 16_384
+#: Pivots of all large labels together (each has one at least), and rows of the sample that they are chosen from.
 PIVOTS = 4096
 SAMPLE_ROWS = 16_384
+#: Rows whose distances to the pivots are held at once.
+AT_ONCE = 1024
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -74,98 +75,114 @@ def _groups(rows: DataFrame) -> DataFrame:
     return same.withColumn("key", F.monotonically_increasing_id())
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def linked(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id and kept."""
-    spark = vectors.sparkSession
     rows = valid_vectors(vectors)
     nodes = written(_groups(rows).withColumn("part", F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string"))), "vectors")
-    sizes = nodes.groupBy("part").count()
-    large = sizes.where(F.col("count") > cell_rows).collect()  # labels of over CELL_ROWS rows; not more than rows / CELL_ROWS
-    total = sum(r["count"] for r in large)
-    pivots: dict[str, np.ndarray] = {}
-    for r in large if len(large) <= PIVOTS else []:
-        share = max(1, PIVOTS * r["count"] // total)
-        want = min(share, -(-4 * r["count"] // cell_rows))
-        rate = min(1.0, 2.0 * SAMPLE_ROWS * r["count"] / total / r["count"])
-        own = nodes.where((F.col("part") == r["part"]) & (F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(rate * (1 << 20))))
-        sample = own.orderBy(F.xxhash64("embedding"), "key").select("embedding").limit(max(1, SAMPLE_ROWS * r["count"] // total)).toArrow()
-        if len(sample):
-            x = _unit(sample.column("embedding").combine_chunks())
-            pivots[r["part"]] = x[net(x, want)]
-    shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
+    pivots = _pivots(nodes, block_rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's nearest pivot and its distance; -1 for labels without pivots."""
         for b in batches:
-            parts = np.array(b.column("part").to_pylist(), object)
-            cell, far = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for part in set(parts.tolist()) & set(shared.value):
-                at = np.flatnonzero(parts == part)
-                d = distances(_unit(b.column("embedding").take(pa.array(at))), shared.value[part])
-                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+            cell, far = np.full(len(b), -1, np.int64), np.zeros(len(b))
+            for part, at in _by_part(b.column("part")):
+                if part in shared.value:
+                    for some in np.array_split(at, -(-len(at) // AT_ONCE)):
+                        d = distances(_unit(b.column("embedding").take(pa.array(some))), shared.value[part])
+                        cell[some], far[some] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=[*b.schema.names, "cell", "far"])
 
-    kind = f"part string, key long, least long, weight long, embedding array<double>"
+    kind = "part string, key long, least long, weight long, embedding array<double>"
     placed = nodes.select("part", "key", "least", "weight", "embedding").mapInArrow(assign, kind + ", cell long, far double")
-    placed = written(placed, "cells")
-    return _finish(vectors, nodes, _links(placed, pivots, cosine, cell_rows))
-
-
-def _plan(stats: list, pivots: dict[str, np.ndarray], cosine: float, cell_rows: int) -> tuple[dict, dict]:
-    """For each cell that others may reach, those others with their radii; and each cell's number of cuts."""
-    reach = float(np.sqrt(2 - 2 * cosine))
-    cuts = {(r["part"], r["cell"]): -(-r["n"] // cell_rows) for r in stats}
-    meets: dict[tuple[str, int], list[tuple[int, float]]] = {}
-    for part, centres in pivots.items():
-        own = [r for r in stats if r["part"] == part]
-        at, radius = np.array([r["cell"] for r in own]), np.array([r["far"] for r in own])
-        d = distances(centres[at], centres[at])
-        near = d <= radius[:, None] + radius + reach + SLACK
-        for i, r in enumerate(own):
-            meets[part, r["cell"]] = [(int(at[j]), float(radius[j])) for j in np.flatnonzero(near[i]) if at[j] != r["cell"]]
-    return meets, cuts
-
-
-def _links(placed: DataFrame, pivots: dict[str, np.ndarray], cosine: float, cell_rows: int) -> DataFrame:
+    return _finish(vectors, nodes, _links(written(placed, "cells"), pivots, cosine, block_rows))
+
+
+def _by_part(parts: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Each part and the places of its rows."""
+    codes = parts.dictionary_encode()
+    idx, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+    order = np.argsort(idx, kind="stable")
+    for name, at in zip(names, np.split(order, np.cumsum(np.bincount(idx, minlength=len(names)))[:-1]), strict=True):
+        yield name, at
+
+
+def _pivots(nodes: DataFrame, block_rows: int) -> dict[str, np.ndarray]:
+    """Pivots of the labels of over ``block_rows`` rows: nets over one bounded sample of them all."""
+    large = written(nodes.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > block_rows), "large")
+    total = large.agg(F.sum("n")).first()[0]
+    if not total:
+        return {}
+    cut = max(1, int(min(1.0, 2.0 * SAMPLE_ROWS / total) * (1 << 20)))
+    own = nodes.join(maybe_broadcast(large), "part").where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < cut)
+    sample = own.orderBy(F.xxhash64("embedding"), "key").limit(2 * SAMPLE_ROWS).select("part", "n", "embedding").toArrow().combine_chunks()
+    out: dict[str, np.ndarray] = {}
+    if len(sample):
+        embedding, n = sample.column("embedding").combine_chunks(), sample.column("n").to_numpy()
+        for part, at in _by_part(sample.column("part").combine_chunks()):
+            rows = int(n[at[0]])
+            x = _unit(embedding.take(pa.array(at)))
+            out[part] = x[net(x, min(max(1, PIVOTS * rows // total), -(-4 * rows // block_rows)))]
+    return out
+
+
+class Layout:
+    """The blocks of a label: small cells together, a large cell in several; ``holds`` tells which cells have rows in which blocks."""
+
+    def __init__(self, n: np.ndarray, radius: np.ndarray, block_rows: int):
+        self.radius = radius
+        self.first, self.cuts = np.zeros(len(n), np.int64), np.maximum(1, -(-n // block_rows))
+        block, room, last = -1, 0, False
+        for cell in range(len(n)):
+            if self.cuts[cell] > 1 or n[cell] > room or not last:
+                block, room = block + 1, block_rows
+            self.first[cell], last = block, self.cuts[cell] == 1
+            room -= int(n[cell])
+            block += int(self.cuts[cell]) - 1
+        self.holds = np.zeros((len(n), block + 1), np.float32)
+        for cell in range(len(n)):
+            self.holds[cell, self.first[cell] : self.first[cell] + self.cuts[cell]] = 1
+
+
+def _links(placed: DataFrame, pivots: dict[str, np.ndarray], cosine: float, block_rows: int) -> DataFrame:
     """key, n_links and root of rows with links: sums and one edge for each task."""
     spark = placed.sparkSession
-    stats = placed.where(F.col("part").isin(list(pivots))) if pivots else placed.limit(0)
-    stats = stats.groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # PIVOTS rows at most
-    meets, cuts = _plan(stats, pivots, cosine, cell_rows)
-    shared = spark.sparkContext.broadcast((meets, cuts, pivots))
+    stats = written(placed.groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")), "cell-sizes")
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {p: (np.zeros(len(c), np.int64), np.zeros(len(c))) for p, c in pivots.items()}
+    for r in stats.where("cell >= 0").collect():  # as many as there are pivots
+        known[r["part"]][0][r["cell"]], known[r["part"]][1][r["cell"]] = r["n"], r["far"]
+    shared = spark.sparkContext.broadcast(({p: Layout(n, far, block_rows) for p, (n, far) in known.items()}, pivots))
     reach = float(np.sqrt(2 - 2 * cosine))
+    #  A label without pivots is one cell, cut by hash into as many blocks as its rows ask for.
+    cuts = stats.where((F.col("cell") < 0) & (F.col("n") > block_rows)).select("part", F.ceil(F.col("n") / block_rows).alias("cuts"))
+    ready = placed.join(maybe_broadcast(cuts), "part", "left").select("part", "key", "weight", "embedding", "cell", F.coalesce("cuts", F.lit(1)).cast("long").alias("cuts"))
+
+    def blocks(part: str, x: pa.Array, keys: np.ndarray, cell: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's own block, and for each row and block whether a linked row may lie there."""
+        layouts, pivots = shared.value
+        mix = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        if part not in layouts:
+            return (mix % cuts.astype(np.uint64)).astype(np.int64), np.ones((len(keys), int(cuts[0])), bool)
+        own = layouts[part]
+        at = own.first[cell] + (mix % own.cuts[cell].astype(np.uint64)).astype(np.int64)
+        near = distances(_unit(x), pivots[part]) <= own.radius + reach + SLACK
+        return at, near.astype(np.float32) @ own.holds > 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A copy of each row for each task that needs it; a task is a pair of cut cells."""
-        meets, cuts, pivots = shared.value
+        """A copy of each row for each task that needs it; a task is a block or a pair of blocks."""
         for b in batches:
-            x_of, rows, tasks, sides = b.column("embedding"), [], [], []
-            parts, cells, keys = b.column("part").to_pylist(), b.column("cell").to_pylist(), b.column("key").to_pylist()
-            by_cell: dict[tuple[str, int], list[int]] = {}
-            for i, pc in enumerate(zip(parts, cells, strict=True)):
-                by_cell.setdefault(pc, []).append(i)
-            for (part, cell), at in by_cell.items():
-                n = cuts.get((part, cell), 1)
-                cut = [_mix(keys[i]) % n for i in at]
-                for i, c in zip(at, cut, strict=True):
-                    rows.append(i), tasks.append(f"{part}|{cell}.{c}"), sides.append(2)
-                    for other in range(n):
-                        if other != c:
-                            lo, hi = min(c, other), max(c, other)
-                            rows.append(i), tasks.append(f"{part}|{cell}.{lo}|{cell}.{hi}"), sides.append(int(c == hi))
-                others = meets.get((part, cell), [])
-                if not others:
-                    continue
-                x = _unit(x_of.take(pa.array(at)))
-                d = distances(x, pivots[part][[o for o, _ in others]])
-                for k, (other, radius) in enumerate(others):
-                    for i in np.flatnonzero(d[:, k] <= radius + reach + SLACK).tolist():
-                        for c in range(cuts[part, other]):
-                            a, z = f"{cell}.{cut[i]}", f"{other}.{c}"
-                            first = (cell, cut[i]) < (other, c)
-                            rows.append(at[i]), sides.append(0 if first else 1)
-                            tasks.append(f"{part}|{a}|{z}" if first else f"{part}|{z}|{a}")
-            take = b.select(["key", "weight", "embedding"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.string()), pa.array(sides, pa.int32()), *take.columns], names=["task", "side", "key", "weight", "embedding"])
+            keys, cell, cuts = (b.column(c).to_numpy() for c in ("key", "cell", "cuts"))
+            for part, every in _by_part(b.column("part")):
+                for at in np.array_split(every, -(-len(every) // AT_ONCE)):
+                    rows = b.select(["key", "weight", "embedding"]).take(pa.array(at))
+                    own, reached = blocks(part, rows.column("embedding"), keys[at], cell[at], cuts[at])
+                    reached[np.arange(len(at)), own] = True
+                    i, other = np.nonzero(reached)
+                    mine = own[i]
+                    side = np.where(mine == other, 2, (mine > other).astype(np.int64)).astype(np.int32)
+                    tasks = [f"{part}|{x}|{y}" for x, y in zip(np.minimum(mine, other).tolist(), np.maximum(mine, other).tolist(), strict=True)]
+                    take = rows.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.string()), pa.array(side), *take.columns], names=["task", "side", "key", "weight", "embedding"])
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by("key")
@@ -181,14 +198,10 @@ def _links(placed: DataFrame, pivots: dict[str, np.ndarray], cosine: float, cell
         root = np.array([linker.find(i) for i in hit.tolist()], np.int64)
         return pa.table({"key": keys[hit], "n_links": linker.links[hit], "root": keys[root] if len(root) else keys[:0]})
 
-    dealt = placed.mapInArrow(deal, "task string, side int, key long, weight long, embedding array<double>")
+    dealt = ready.mapInArrow(deal, "task string, side int, key long, weight long, embedding array<double>")
     return written(dealt.groupBy("task").applyInArrow(solve, "key long, n_links long, root long"), "vector-links")
 
 
-def _mix(key: int) -> int:
-    return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
-
-
 def _finish(vectors: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     sums = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     groups = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 
+from loomfact.llm import embedding_dedup
 from loomfact.llm.components import connected_components
 from loomfact.llm.embedding_dedup import linked
 from loomfact.llm.tool_calls import linked as linked_calls
@@ -48,11 +49,30 @@ def test_vector_links(spark):
     rows = rows_of_vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, kept string").repartition(4)
     want = brute(rows)
-    for cell in (4096, 40):
-        assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in linked(df, cell_rows=cell).collect()} == want
+    for block in (4096, 40):
+        assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in linked(df, block_rows=block).collect()} == want
     assert linked(df.limit(0)).count() == 0
 
 
+def test_large_labels_without_pivots_are_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 0)
+    rows = rows_of_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in linked(df, block_rows=30).collect()} == brute(rows)
+
+
+def test_blocks_share_small_cells_and_cut_large_ones():
+    got = embedding_dedup.Layout(np.array([3, 4, 25, 0, 9, 2]), np.zeros(6), 10)
+    assert got.first.tolist() == [0, 0, 1, 4, 4, 5] and got.cuts.tolist() == [1, 1, 3, 1, 1, 1]
+    assert got.holds.sum(axis=1).tolist() == [1, 1, 3, 1, 1, 1] and got.holds[2].tolist() == [0, 1, 1, 1, 0, 0]
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (4, [0.0, 1.0], 1)]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [("1", 1, 1, True), ("1", 1, 1, True), ("4", 1, 4, True), ("None", 1, 4, False)]
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(50, 50), (61, 60), (62, 61)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
