@@ -6,7 +6,8 @@ across: before a mark behind another character, and around line feeds if no piec
 holds one. Words of equal length advance together: for each end position the rolling
 hashes of all substrings are probed in the sorted hashes of the pieces, hits are
 confirmed by their characters, and the best piece is stored as a backpointer. A
-character without a piece becomes its bytes.
+character without a piece becomes its bytes. Long words whose length few others have, as
+in texts without spaces, are searched alone, all places of a word together.
 
 What is best follows the model's kind. With unigram scores it is the highest sum, the
 longer last piece on a tie. With merges every beginning of a word has just one last
@@ -38,6 +39,8 @@ from .tokens import WordTable, vocabulary
 MARK = "▁"
 #: Words of equal length that advance together.
 TOGETHER = 1 << 16
+#: Words of more characters than this, if there are fewer than FEW_WORDS of their length, are searched alone.
+LONG_WORD, FEW_WORDS = 24, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a hash that are left for the marks by which most substrings are passed over.
 _SHIFT = np.uint64(64 - 18)
@@ -173,6 +176,10 @@ class Pieces:
                 continue
             by_size.setdefault(len(w), []).append(i)
         for size, at in by_size.items():
+            if size > LONG_WORD and len(at) < FEW_WORDS:
+                for i in at:
+                    out[i] = self._long(words[i])
+                continue
             step = max(1, TOGETHER // max(1, size))
             for a in range(0, len(at), step):
                 part = at[a : a + step]
@@ -235,6 +242,71 @@ class Pieces:
             out[i] = self._with_bytes(words[i], path[i][path[i] > -2]).astype("<u4").tobytes()
         return out
 
+    def _long(self, word: str) -> bytes:
+        """ids of one long word: all its substrings are probed, and all neighbouring pieces compared, in one go each.
+
+        Alone, a word has nothing to advance together with, so its places take the words'
+        part; what is left for each place is to pick among the few pieces that end there.
+        """
+        size = len(word)
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+        rolled, h = [0], 0
+        for c in codes.tolist():
+            h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+            rolled.append(h)
+        h, ends, lengths, places = np.array(rolled, np.uint64), [], [], []
+        for m in range(min(self.longest, size), 0, -1):
+            want = h[m:] - h[:-m] * self.power[m]
+            at = np.flatnonzero(self.marked[m][want >> _SHIFT])
+            k = np.minimum(np.searchsorted(self.keys, want[at]), len(self.keys) - 1)
+            good = (self.keys[k] == want[at]) & (self.sizes[k] == m)
+            if self.merges:
+                good &= self.whole[k]
+            at, k = at[good], k[good]
+            good = (self.chars[k, :m] == codes[at[:, None] + np.arange(m)]).all(axis=1)
+            ends.append(at[good] + m), places.append(k[good]), lengths.append(np.full(int(good.sum()), m))
+        end, k, m = (np.concatenate(x) for x in (ends, places, lengths))
+        order = np.lexsort((-m, end))
+        end, k, m = end[order], k[order], m[order]
+        begin = end - m
+        low = np.searchsorted(end, np.arange(size + 2), "left").tolist()
+        high = low[1:]
+        best, picked = [0.0] + [-np.inf] * size, [-1] * (size + 1)  # the piece that ends at each place
+        if self.merges:
+            counts = (np.array(high)[begin] - np.array(low[:-1])[begin]) * (begin > 0)
+            base = np.concatenate([[0], np.cumsum(counts)])
+            fits = np.empty(int(base[-1]), bool)
+            for a in range(0, len(k), TOGETHER):
+                z = min(len(k), a + TOGETHER)
+                own = np.repeat(np.arange(a, z), counts[a:z])
+                before = np.arange(base[a], base[z]) - base[own] + np.array(low)[begin[own]]
+                fits[base[a] : base[z]] = self.together(k[before], k[own])
+            starts, offset, fits = begin.tolist(), base.tolist(), fits.tolist()
+            for j in range(1, size + 1):
+                for c in range(low[j], high[j]):
+                    p = picked[starts[c]]
+                    if p < 0 or fits[offset[c] + p - low[starts[c]]]:
+                        picked[j] = c
+                        break
+        else:
+            starts, scores = begin.tolist(), self.scores[k].tolist()
+            single = (m == 1).tolist()
+            for j in range(1, size + 1):
+                known = False
+                for c in range(low[j], high[j]):
+                    known |= single[c]
+                    if (score := best[starts[c]] + scores[c]) > best[j]:
+                        best[j], picked[j] = score, c
+                if not known and (score := best[j - 1] + self.lowest) > best[j]:
+                    best[j], picked[j] = score, -1
+        ids, path, j = self.ids[k].tolist(), [], size
+        while j > 0:
+            c = picked[j]
+            path.append(ids[c] if c >= 0 else -1)
+            j = starts[c] if c >= 0 else j - 1
+        path = np.array(path[::-1], np.int64)
+        return (self._with_bytes(word, path) if (path < 0).any() else path).astype("<u4").tobytes()
+
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         out, at = [], 0
         for i in ids.tolist():
