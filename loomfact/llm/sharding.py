@@ -32,16 +32,21 @@ def _bits(hex12: Column) -> Column:
     return F.lpad(F.bin(F.conv(hex12, 16, 10).cast("long")), KEY_BITS, "0")
 
 
-def hashed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and hash bits of each row."""
+def _hash_bits() -> Column:
+    """Bits of id and text, then of the place in the input."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.md5(text.cast("binary")))
     own = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.concat(_bits(F.substring(F.md5(key.cast("binary")), 1, 12)), _bits(F.substring(own, 1, 12))).alias("bits"),
-    )
+    return F.concat(_bits(F.substring(F.md5(key.cast("binary")), 1, 12)), _bits(F.substring(own, 1, 12)))
+
+
+def _n_bytes() -> Column:
+    return F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+
+
+def hashed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and hash bits of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _n_bytes().alias("n_bytes"), _hash_bits().alias("bits"))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -62,43 +67,41 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         part = found.select(F.lit(base_depth).alias("base_depth"), "base", "depth")
         made = part if made is None else made.union(part)
         left = base.join(found, "base", "left_anti").select("base")
-        if base_depth == deepest or not left.limit(1).count():
+        if base_depth == deepest:  # rows that no bit tells apart share a shard, over the limit
+            return made.union(left.select(F.lit(deepest).alias("base_depth"), "base", F.lit(deepest).alias("depth")))
+        if not left.limit(1).count():
             return made
         left = written(left, "oversize")
         open_rows = open_rows.join(maybe_broadcast(left), F.substring("bits", 1, base_depth) == F.col("base"), "left_semi")
         above, base_depth = base_depth, min(deepest, base_depth + 12)
 
 
-def _placed(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """``rows`` with the shard of their bits."""
+def _placed(rows: DataFrame, made: DataFrame, bits: str) -> DataFrame:
+    """``rows`` with __lf_depth and __lf_shard, the shard of their bits."""
     depths = [r[0] for r in made.select("base_depth").distinct().collect()]
     made = maybe_broadcast(written(made, "placed"))
     out = None
     for d in depths or [0]:  # one round of the directory each, nearly always one
-        own = made.where(F.col("base_depth") == d).select("base", "depth")
-        hit = rows.join(own, F.substring("bits", 1, d) == F.col("base")).drop("base")
+        own = made.where(F.col("base_depth") == d).select(F.col("base").alias("__lf_base"), F.col("depth").alias("__lf_depth"))
+        hit = rows.join(own, F.substring(bits, 1, d) == F.col("__lf_base")).drop("__lf_base")
         out = hit if out is None else out.union(hit)
-    return out.withColumn("shard", F.expr("substring(bits, 1, depth)"))
+    return out.withColumn("__lf_shard", F.expr(f"substring({bits}, 1, __lf_depth)"))
 
 
 def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard (its prefix of bits), depth and oversize of each row."""
     rows = written(hashed_rows(docs), "hashed")
-    out = _placed(rows, directory(rows, limit))
-    return out.select("doc_id", "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), (F.col("n_bytes") > limit).alias("oversize"))
+    out = _placed(rows, directory(rows, limit), "bits")
+    return out.select("doc_id", "n_bytes", F.col("__lf_shard").alias("shard"), F.col("__lf_depth").cast("long").alias("depth"), (F.col("n_bytes") > limit).alias("oversize"))
 
 
 def write_sharded(docs: DataFrame, folder: str, limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` with all their columns, one folder for each shard.
+    """Write ``docs`` with all their columns, one folder (``__lf_shard=...``) for each shard.
 
-    Rows meet by (doc_id, hash of the text), so rows that repeat both share a shard's number.
+    Every row is written once with its bits, place included, before shards are made, so
+    rows that repeat are told apart as the directory tells them apart.
     """
-    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = written(hashed_rows(docs), "hashed")
-    placed = _placed(rows, directory(rows, limit))
-    names = placed.select(F.substring("bits", 1, KEY_BITS).alias("__lf_bits"), F.col("shard").alias("__lf_shard")).distinct()
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), text)
-    keyed = docs.withColumn("__lf_bits", _bits(F.substring(F.md5(key.cast("binary")), 1, 12)))
-    first = names.groupBy("__lf_bits").agg(F.min("__lf_shard").alias("__lf_shard"))
-    out = keyed.join(first, "__lf_bits").drop("__lf_bits")
+    rows = written(docs.withColumns({"__lf_bits": _hash_bits(), "__lf_bytes": _n_bytes()}), "hashed")
+    made = directory(rows.select(F.col("__lf_bytes").alias("n_bytes"), F.col("__lf_bits").alias("bits")), limit)
+    out = _placed(rows, made, "__lf_bits").select(*(F.col(f"`{c}`") for c in docs.columns), "__lf_shard")
     out.repartition("__lf_shard").write.partitionBy("__lf_shard").parquet(folder)

@@ -253,6 +253,12 @@ def test_sharded_files(spark, docs, tmp_path):
     sharding.write_sharded(docs, str(tmp_path / "out"), 300_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(ROWS) and set(docs.columns) < set(back.columns)
+    repeats = spark.createDataFrame([(7, "x" * 100, 1)] * 400 + [(i, "y" * 100, 2) for i in range(100)], "doc_id long, text string, depth int").repartition(3)
+    sharding.write_sharded(repeats, str(tmp_path / "repeats"), 2_000)
+    back = spark.read.parquet(str(tmp_path / "repeats"))
+    assert back.count() == 500 and back.select("depth").distinct().count() == 2
+    sizes = [r[0] for r in back.groupBy("__lf_shard").agg(F.sum(F.length("text"))).collect()]
+    assert max(sizes) <= 2_000 and len(sizes) >= 25
 
 
 WORDS = ["▁interesting", "▁été", "▁x", "▁①②", "▁▁▁▁▁▁a", "▁supercalifragilistic", "\n", "▁日本語"]
