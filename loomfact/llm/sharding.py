@@ -96,12 +96,13 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
 
 def write_sharded(docs: DataFrame, folder: str, limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` with all their columns, one folder (``__lf_shard=...``) for each shard.
+    """Write ``docs`` with all their columns, one folder for each shard: ``__lf_shard=b`` and its bits.
 
+    (Bits alone would be read back as a number, and 0 and 00 as one shard.)
     Every row is written once with its bits, place included, before shards are made, so
     rows that repeat are told apart as the directory tells them apart.
     """
     rows = written(docs.withColumns({"__lf_bits": _hash_bits(), "__lf_bytes": _n_bytes()}), "hashed")
     made = directory(rows.select(F.col("__lf_bytes").alias("n_bytes"), F.col("__lf_bits").alias("bits")), limit)
-    out = _placed(rows, made, "__lf_bits").select(*(F.col(f"`{c}`") for c in docs.columns), "__lf_shard")
+    out = _placed(rows, made, "__lf_bits").select(*(F.col(f"`{c}`") for c in docs.columns), F.concat(F.lit("b"), F.col("__lf_shard")).alias("__lf_shard"))
     out.repartition("__lf_shard").write.partitionBy("__lf_shard").parquet(folder)

@@ -257,7 +257,7 @@ def test_sharded_files(spark, docs, tmp_path):
     sharding.write_sharded(repeats, str(tmp_path / "repeats"), 2_000)
     back = spark.read.parquet(str(tmp_path / "repeats"))
     assert back.count() == 500 and back.select("depth").distinct().count() == 2
-    sizes = [r[0] for r in back.groupBy("__lf_shard").agg(F.sum(F.length("text"))).collect()]
+    sizes = [r[1] for r in back.groupBy("__lf_shard").agg(F.sum(F.length("text"))).collect()]
     assert max(sizes) <= 2_000 and len(sizes) >= 25
 
 
