@@ -4,28 +4,34 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import reduce, wraps
+from operator import add
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a key table is broadcast; beyond it the join shuffles.
+#: Rows and bytes up to which a table is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (tests, local mode) a temporary folder is
-    chosen and remembered in the session.
+    Only in local mode, where the setting may be absent, a temporary folder is chosen
+    and remembered in the session; on a cluster such a folder would not be shared.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomfact.scratch", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-loomfact-", dir="/tmp")
         spark.conf.set("spark.loomfact.scratch", where)
     return where.rstrip("/")
@@ -68,18 +74,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def _width(field: StructField) -> Column:
+    """Bytes of a column's value, roughly."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, StructType | ArrayType | MapType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``rows`` rows and ``size`` bytes; reads no more rows than it must."""
+    width = reduce(add, map(_width, df.schema.fields), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n <= rows and (total or 0) <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows it, else unchanged."""
+    """``df`` with a broadcast hint if its counted rows and bytes allow it, else unchanged."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def give_back() -> None:
+    """Give memory that Python has freed back to the system, which it would else keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, after which the worker gives what it freed back to the system.
+    """``run`` for mapInArrow, after which the worker gives its memory back.
 
     Workers live on for other tasks; without this each keeps the most that any task needed.
     """
@@ -89,11 +117,6 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return trimming

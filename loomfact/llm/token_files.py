@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, shared_dir, trimmed, written
@@ -28,6 +28,8 @@ from .tokens import tokenizer, vocabulary
 #: ids of a block and of a file; a block holds whole documents, so the last may carry it further.
 BLOCK_IDS = 1 << 18
 FILE_IDS = 16 << 20
+#: Files whose starts one window works out.
+RUN_FILES = 1024
 _BLOCK_FIELDS = """file_no int, block_no int, file_offset long, n_ids long, lanes int, crc32 long, states binary, words binary,
     check_steps array<int>, check_words array<long>, check_states binary, doc_ids array<long>, doc_sizes array<long>"""
 
@@ -139,12 +141,15 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     for r in rows:
         freq[r.symbol] = r.freq
     shared = spark.sparkContext.broadcast(freq)
-    #  ids before each file: one number a file.
-    sums = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n")).orderBy("file_no").collect()
-    before, at = {}, 0
-    for r in sums:
-        before[r.file_no], at = at, at + r.n
-    files = spark.createDataFrame([(int(k), int(v)) for k, v in before.items()], "file_no int, file_start long")
+    #  ids before each file, in two steps: the driver sees a sum for every RUN_FILES files, windows do the rest.
+    files = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n")).withColumn("run", F.floor(F.col("file_no") / RUN_FILES))
+    sums = files.groupBy("run").agg(F.sum("n").alias("n")).orderBy("run").collect()
+    starts = np.cumsum([0, *(r.n for r in sums)]).tolist()
+    runs = spark.createDataFrame([(r.run, at) for r, at in zip(sums, starts, strict=False)], "run long, run_start long")
+    earlier = F.sum("n").over(Window.partitionBy("run").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(runs), "run")  # a row for RUN_FILES files
+    files = files.select("file_no", (F.col("earlier") + F.col("run_start")).alias("file_start"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, BITS)
         for b in batches:
