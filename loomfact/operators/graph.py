@@ -83,8 +83,11 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not where:
+            import re
             import tempfile
 
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="spark-loomfact-", dir="/tmp")
         context.setCheckpointDir(where)
     return df.checkpoint()
