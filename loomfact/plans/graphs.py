@@ -67,12 +67,15 @@ def _sparse(t: Tables) -> DataFrame:
     return t.orders.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-@query("person_components")
+_SPARSE = "s AS (SELECT DISTINCT least(o_custkey, o_orderkey % 1500 + 1) AS a, greatest(o_custkey, o_orderkey % 1500 + 1) AS b FROM orders WHERE o_custkey <> o_orderkey % 1500 + 1), e AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s)"
+
+
+@query("person_components", f"WITH RECURSIVE {_SPARSE}, r(node, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.node WHERE r.m < e.b) SELECT node, min(m) AS component FROM r GROUP BY node")
 def person_components(t: Tables) -> DataFrame:
     return graph.components(_sparse(t))
 
 
-@query("shortest_paths")
+@query("shortest_paths", f"WITH RECURSIVE {_SPARSE}, w(node, steps) AS (SELECT min(a), 0::BIGINT FROM e UNION SELECT e.b, steps + 1 FROM w JOIN e ON e.a = w.node WHERE steps < 30) SELECT node, min(steps) AS steps FROM w GROUP BY node")
 def shortest_paths(t: Tables) -> DataFrame:
     edges = _sparse(t)
     start = edges.agg(F.min("a")).first()[0]
