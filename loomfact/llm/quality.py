@@ -7,7 +7,7 @@ the probability of each tail. Features are the presence of words and the shares
 words with some shape (marks behind them, capitals, repeats).
 
 The weights are fitted on a bounded sample: the SAMPLE_ROWS labelled rows whose hashed
-ids are smallest. All documents are scored, whole texts each.
+ids are smallest, of which the driver gets the features that enough of them have. All documents are scored, whole texts each.
 
 Defined cases: null text counts as empty and is scored like any text; a null id is
 carried along and never in the sample; of several ratings of one document the lowest
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import dropped, give_back, trimmed, written
 
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 18
@@ -44,6 +44,8 @@ RIDGE = 3e-3
 LEAST_DOCS = 3
 #: Documents of the sample whose share is added to both sides of a feature's log ratios.
 SMOOTH = 2.0
+#: Rows whose features are multiplied in one go.
+BLOCK_ROWS = 500
 #: Weight of a share against a word's presence.
 SHARE = 20.0
 #: Letters of a word's beginnings, which are features too.
@@ -111,8 +113,8 @@ def _telling(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> n
     """
     by_grade = np.zeros((GRADES, BUCKETS))
     for g in range(GRADES):
-        own = [i for (i, _), x in zip(rows, grades.tolist(), strict=True) if x == g]
-        by_grade[g] = np.bincount(np.concatenate(own), minlength=BUCKETS) if own else 0
+        for i in (i for (i, _), x in zip(rows, grades.tolist(), strict=True) if x == g):
+            by_grade[g][i] += 1  # a row has a bucket once, but for clashes of shares with words
     n, out = np.bincount(grades, minlength=GRADES), np.zeros(BUCKETS)
     for k in range(1, GRADES):
         if 0 < n[:k].sum() < len(grades):
@@ -121,6 +123,15 @@ def _telling(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> n
     return out * out
 
 
+def _block(rows: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, place and scaled value of the used features of some rows, and the number of rows."""
+    idx = place[np.concatenate([i for i, _ in rows])]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    stay = idx >= 0
+    idx, val = idx[stay], np.concatenate([v for _, v in rows])[stay]
+    return row[stay], idx, (val * scale[idx]).astype(np.float32), len(rows)
+
+
 class Ordinal:
     """Cumulative-link model: weights and ordered thresholds."""
 
@@ -140,23 +151,22 @@ class Ordinal:
         weights = np.zeros(BUCKETS)
         if len(set(grades.tolist())) < 2:
             return cls(weights, thresholds)
-        docs = np.bincount(np.concatenate([i for i, _ in rows]), minlength=BUCKETS)
+        docs = np.zeros(BUCKETS, np.int32)
+        for i, _ in rows:
+            docs[i] += 1
         used = np.flatnonzero(docs >= LEAST_DOCS)
         scale = _telling(rows, grades)[used]
-        place = np.full(BUCKETS, -1)
+        place = np.full(BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        kept = [(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in rows]
-        row = np.repeat(np.arange(len(kept)), [len(i) for i, _ in kept])
-        idx, val = np.concatenate([i for i, _ in kept]), np.concatenate([v for _, v in kept])
-        val = val * scale[idx]
+        blocks = [_block(rows[at : at + BLOCK_ROWS], place, scale) for at in range(0, len(rows), BLOCK_ROWS)]
         #  Parameters: the used weights, the first threshold, the logarithms of the gaps.
         gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
         p = np.concatenate([np.zeros(len(used)), thresholds[:1], gaps])
         m, v2 = np.zeros_like(p), np.zeros_like(p)
-        n, k = len(kept), len(used)
+        n, k = len(rows), len(used)
         for t in range(1, ROUNDS + 1):
             w, cut = p[:k], np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])]))
-            s = np.bincount(row, w[idx] * val, n)
+            s = np.concatenate([np.bincount(row, w[idx] * val, size) for row, idx, val, size in blocks])
             edge = np.concatenate([[-np.inf], cut, [np.inf]])
             a, b = _sigmoid(edge[grades + 1] - s), _sigmoid(edge[grades] - s)
             ds = (1 - a - b) / n
@@ -164,7 +174,10 @@ class Ordinal:
             hi, lo = -a * (1 - a) / prob / n, b * (1 - b) / prob / n
             dcut = np.bincount(grades, hi, GRADES)[: GRADES - 1] + np.bincount(grades, lo, GRADES)[1:]
             later = np.cumsum(dcut[::-1])[::-1]
-            g = np.concatenate([np.bincount(idx, ds[row] * val, k) + RIDGE * w, later[:1], later[1:] * np.exp(p[k + 1 :])])
+            own = RIDGE * w
+            for at, (row, idx, val, size) in enumerate(blocks):
+                own += np.bincount(idx, ds[at * BLOCK_ROWS : at * BLOCK_ROWS + size][row] * val, k)
+            g = np.concatenate([own, later[:1], later[1:] * np.exp(p[k + 1 :])])
             m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
             p = p - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.999**t)) + 1e-8)
         weights[used] = p[:k] * scale
@@ -192,11 +205,30 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Ord
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rated = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # ``sample`` rows at most
     rows = rated.mapInArrow(trimmed(run), "doc_id long, grade int, idx array<int>, val array<float>")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("idx", "val")).limit(sample).toArrow()
-    if not len(rows):
+    rows = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("idx", "val")).limit(sample), "features")
+    #  Features of too few documents are left out where the rows are; the driver gets what the fit uses.
+    used = rows.select(F.explode("idx").alias("bucket")).groupBy("bucket").count().where(F.col("count") >= LEAST_DOCS)
+    known = np.zeros(BUCKETS, bool)
+    known[used.select("bucket").toArrow().column(0).to_numpy()] = True
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, val = b.column("idx"), b.column("val")
+            flat = idx.flatten().to_numpy()
+            stay = known[flat]
+            ends = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())])]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[stay])) for x in (flat, val.flatten().to_numpy())]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), *lists], names=["grade", "idx", "val"])
+
+    kept = rows.select("grade", "idx", "val").mapInArrow(trimmed(pruned), "grade int, idx array<int>, val array<float>").toArrow()
+    dropped(rows)
+    if not len(kept):
         return Ordinal(np.zeros(BUCKETS), np.full(GRADES - 1, -50.0))
-    split = lambda c: [np.asarray(x.values) for x in rows.column(c)]
-    return Ordinal.fit(list(zip(split("idx"), split("val"), strict=True)), rows.column("grade").to_numpy().astype(np.int64))
+    split = lambda c: [np.asarray(x.values) for x in kept.column(c)]
+    model = Ordinal.fit(list(zip(split("idx"), split("val"), strict=True)), kept.column("grade").to_numpy().astype(np.int64))
+    del kept
+    give_back()
+    return model
 
 
 def _scores(docs: DataFrame, model: Ordinal, id_col: Column) -> DataFrame:
