@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -28,13 +28,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         #  Large star: larger neighbours move to the smallest neighbour.
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         #  Small star: smaller neighbours move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         moved = large.join(low, F.col("u") == F.col("w"))
         small = moved.select("v", "m").where("v <> m").union(moved.select(F.col("u"), "m"))
-        nxt = written(small.toDF("u", "v").where("u > v").distinct(), "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        #  Whether a round changed anything is seen while its edges are written, without a job of its own.
+        seen = Observation()
+        nxt = small.toDF("u", "v").where("u > v").distinct()
+        nxt = written(nxt.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = seen.get
         dropped(state)
         state = nxt
         if mark == now:
