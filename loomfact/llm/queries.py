@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned
 from .common import documents, table
 from .embedding_dedup import linked
 from .exact_dedup import exact_groups
@@ -120,6 +121,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -140,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
+        "op13_alignment": op13_alignment,
     }
 
 
