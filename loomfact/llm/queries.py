@@ -19,6 +19,7 @@ from .sharding import LIMIT_BYTES, shards
 from .simhash import near_groups
 from .token_files import round_trip
 from .tool_calls import linked as linked_calls
+from .voronoi import top_k
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, d.rid AS other, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.rid <> d.rid)
+SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) <= 20
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir))
 
@@ -145,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
+        "op11_top_k": op11_top_k,
         "op13_alignment": op13_alignment,
     }
 
@@ -154,4 +169,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_sharding": OP2_SQL,
         "op6_exact_dedup": OP6_SQL,
         "op7_tool_calls": OP7_SQL,
+        "op11_top_k": OP11_SQL,
     }
