@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import aligned
+from .chat_repair import repairs
 from .common import documents, table
 from .embedding_dedup import linked
 from .exact_dedup import exact_groups
@@ -127,14 +129,77 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = """
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, d.rid AS other, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.rid <> d.rid)
 SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) <= 20
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Chats with faults planted by ``crc32("conv_id:turn") % 20``: a turn is dropped, emptied, broken off, repeated or made the user's."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind, text, role = F.crc32(key.cast("binary")) % 20, F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    times = F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = conversations.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(times).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repairs(damaged(rows)).withColumnRenamed("conv_id", "conv")
+    every = rows.select("conv_id").distinct()
+    nothing = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    return every.join(found, every.conv_id.eqNullSafe(F.col("conv")), "left").drop("conv").fillna(nothing, list(nothing))
+
+
+def _op12_sql() -> str:
+    """The same edits turn by turn in a recursive query: for each state (nothing, s, u or a last) the least cost, audit and turns."""
+    crc = "list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(key, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+
+    def edit(state: str, letter: str, cost: str, turn: str = "", if_: str = "true") -> str:
+        turns = f"list_append({state}.turns, {turn})" if turn else f"{state}.turns"
+        return f"CASE WHEN {state} IS NOT NULL AND ({if_}) THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || {letter}, 'turns': {turns}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    stay = "5 * r.broken::INT"
+    own = "r.role || ':' || r.text"
+    keep_or = lambda s, c, role: edit(s, f"CASE WHEN r.role[1] = '{c}' THEN 'K' ELSE 'R' END", f"{stay} + (r.role[1] <> '{c}')::INT", f"CASE WHEN r.role[1] = '{c}' THEN {own} ELSE '{role}:' || r.text END", "NOT r.must")
+    return rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM b),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 0 THEN []::INT[] WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k),
+e AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+             NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut FROM d),
+f AS (SELECT *, NOT blank AND again AS dup, NOT blank AND NOT again AND cut AS broken FROM e),
+o AS (SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT)::BIGINT AS blank, sum(dup::INT)::BIGINT AS duplicate, sum(broken::INT)::BIGINT AS truncated,
+             count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, list({{'role': role, 'text': text, 'must': blank OR dup, 'broken': broken}} ORDER BY i) AS rows FROM o GROUP BY conv_id),
+z AS (SELECT 1 AS one, {{'cost': 0, 'audit': '', 'turns': []::VARCHAR[]}} AS nothing),
+p(conv_id, i, rows, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0, rows, nothing, CASE WHEN false THEN nothing END, CASE WHEN false THEN nothing END, CASE WHEN false THEN nothing END FROM g, z
+  UNION ALL
+  SELECT conv_id, i + 1, rows, {edit("s0", "'D'", "2")}, {least(edit("s1", "'D'", "2"), edit("s0", "'K'", stay, own, "NOT r.must AND r.role[1] = 's'"))},
+         {least(edit("t2", "'D'", "2"), keep_or("s0", "u", "user"), keep_or("s1", "u", "user"), keep_or("t3", "u", "user"))},
+         {least(edit("t3", "'D'", "2"), keep_or("t2", "a", "assistant"))}
+  FROM (SELECT *, {least("s3", edit("t2", "'I'", "5", "'assistant:'"))} AS t3, rows[i + 1] AS r
+        FROM (SELECT *, {least("s2", *[edit(s, "'I'", "5", "'user:'") for s in ("s0", "s1", "s3")])} AS t2 FROM p WHERE i < len(rows)))),
+l AS (SELECT conv_id, {least("s0", "s3", edit("t2", "'I'", "5", "'assistant:'"))} AS best
+      FROM (SELECT *, {least("s2", edit("s1", "'I'", "5", "'user:'"))} AS t2 FROM p WHERE i = len(rows)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir))
 
@@ -160,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
         "op11_top_k": op11_top_k,
+        "op12_chat_repair": op12_chat_repair,
         "op13_alignment": op13_alignment,
     }
 
@@ -170,4 +236,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": OP6_SQL,
         "op7_tool_calls": OP7_SQL,
         "op11_top_k": OP11_SQL,
+        "op12_chat_repair": OP12_SQL,
     }
