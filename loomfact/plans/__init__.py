@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("storage", "sequences", "graphs", "texts", "numeric", "views", "hierarchies", "validation", "records", "narrative", "resolving", "parsing", "annotating")
+AREAS = ("storage", "sequences", "graphs", "texts", "numeric", "views", "hierarchies", "validation", "records", "narrative", "resolving", "parsing", "annotating", "worlds")
 
 
 def load() -> None:
