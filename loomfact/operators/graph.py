@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,13 +64,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def shortest_paths(edges: DataFrame, start: object, most: int = 12) -> DataFrame:
-    """Steps from ``start`` to every node within ``most``, and the smallest predecessor of each: a frontier loop."""
+def shortest_paths(edges: DataFrame, start: object) -> DataFrame:
+    """Steps from ``start`` to every node that it reaches, and the smallest predecessor of each: a round for each step."""
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).distinct())
     kind = both.schema["u"].dataType
     seen = cut(both.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).cast("long").alias("steps"), F.lit(None).cast(kind).alias("via")))
-    frontier = seen
-    for step in range(1, most + 1):
+    frontier, step = seen, 0
+    while True:
+        step += 1
         reach = frontier.join(both, F.col("node") == F.col("u")).groupBy("v").agg(F.min("u").alias("via"))
         new = reach.join(seen.select(F.col("node").alias("v")), "v", "left_anti")
         frontier = cut(new.select(F.col("v").alias("node"), F.lit(step).cast("long").alias("steps"), "via"))
@@ -77,17 +82,22 @@ def shortest_paths(edges: DataFrame, start: object, most: int = 12) -> DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder of the session."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not where:
-            import re
-            import tempfile
-
-            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="spark-loomfact-", dir="/tmp")
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+    """Cut the lineage: ``df`` written into the shared checkpoint folder of the session and read back.
+
+    The copy is planned by its files' sizes. A checkpointed plan keeps the sizes estimated
+    for it, which a loop of joins squares each round until planning takes longer than the work.
+    """
+    path = f"{scratch(df.sparkSession)}/loomfact/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only in local mode, where none may be set, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomfact.scratch", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="spark-loomfact-", dir="/tmp")
+        spark.conf.set("spark.loomfact.scratch", where)
+    return where.rstrip("/")

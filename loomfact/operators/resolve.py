@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .facts import nearest_marked_ancestor
+from . import intervals
 from .graph import cut
 from .tree import broken_cycles, lifted, on_cycles, roots
 
@@ -30,9 +30,15 @@ def without_inversions(edges: DataFrame, rank: DataFrame) -> DataFrame:
 
 
 def tiers(edges: DataFrame, rank: DataFrame) -> DataFrame:
-    """node and tier of children: the own rank, but one below the parent's at least."""
-    r = ranked_edges(edges, rank)
-    return r.select(F.col("child").alias("node"), F.greatest("child_rank", F.coalesce(F.col("parent_rank") + 1, F.col("child_rank"))).alias("tier"))
+    """node and tier of children: the own rank, but one below the parent's tier at least.
+
+    A tier is the most that any place on the way up asks for: its rank and the steps down
+    from it. So it is one fold over the paths of rank minus depth.
+    """
+    depth = lifted(edges).where("root is not null").select("node", "depth")
+    asks = depth.join(rank.select("node", "rank"), "node", "left").select("node", (F.col("rank") - F.col("depth")).alias("value"))
+    top = intervals.folded(edges, asks, F.greatest).join(depth.where("depth > 0"), "node")
+    return top.select("node", (F.col("value") + F.col("depth")).alias("tier"))
 
 
 def acyclic(edges: DataFrame, weights: DataFrame, uber_root: str | None = None) -> DataFrame:
@@ -71,19 +77,11 @@ def caught(orphans: DataFrame, placed: DataFrame, uber_root: str) -> DataFrame:
     return orphans.select(F.col("name").alias("child")).distinct().join(best, "child", "left").select("child", F.coalesce("parent", F.lit(uber_root)).alias("parent"))
 
 
-def safe_moves(edges: DataFrame, moves: DataFrame, levels: int) -> DataFrame:
-    """The moves (child, parent) that make no cycle: neither end is the other, and the child is no ancestor of the parent within ``levels``."""
-    asked = moves.where(F.col("child") != F.col("parent"))
-    state = asked.select("child", "parent", F.col("parent").alias("up"))
-    above = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-    bad = None
-    for _ in range(levels):
-        state = cut(state.join(above, F.col("up") == F.col("__c")).select("child", "parent", F.col("__p").alias("up")))
-        if not state.limit(1).count():
-            break
-        hit = state.where(F.col("up") == F.col("child")).select("child", "parent")
-        bad = hit if bad is None else bad.union(hit)
-    return asked if bad is None else asked.join(bad.distinct(), ["child", "parent"], "left_anti")
+def safe_moves(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """The moves (child, parent) that make no cycle in the tree as it is, each taken for itself."""
+    asked = moves.where(F.col("child") != F.col("parent")).select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    kept = intervals.above_or_same(asked, intervals.numbered(edges)).where("not above")
+    return kept.select(F.col("a").alias("child"), F.col("b").alias("parent"))
 
 
 def applied(edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -107,23 +105,18 @@ def depth_histogram(edges: DataFrame) -> DataFrame:
     return lifted(edges).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
-def chain_accuracy(predicted: DataFrame, gold: DataFrame, levels: int) -> DataFrame:
-    """node, length of its gold chain and how far the predicted chain agrees from the node on."""
-    leaf = gold.select("child").join(gold.select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select(F.col("child").alias("node"))
-    state = leaf.select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("agree"), F.lit(True).alias("open"))
-    up = gold.select(F.col("child").alias("at"), F.col("parent").alias("__g"))
-    said = predicted.select(F.col("child").alias("at"), F.col("parent").alias("__p"))
-    done = None
-    for _ in range(levels):
-        j = state.join(up, "at", "left").join(said, "at", "left")
-        same = F.col("open") & F.coalesce(F.col("__g") == F.col("__p"), F.lit(False))
-        j = cut(j.select("node", "__g", F.when(F.col("__g").isNull(), F.col("length")).otherwise(F.col("length") + 1).alias("length"), (F.col("agree") + (same & F.col("__g").isNotNull()).cast("long")).alias("agree"), same.alias("open")))
-        end = j.where("__g is null").select("node", "length", "agree")
-        done = end if done is None else done.union(end)
-        state = j.where("__g is not null").select("node", F.col("__g").alias("at"), "length", "agree", "open")
-        if not state.limit(1).count():
-            break
-    return done
+def chain_accuracy(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """node, length of its gold chain and how far the predicted chain agrees from the node on, for the leaves of the gold tree.
+
+    The chains part at the nearest node, the leaf included, that has another parent in
+    either; a root has none.
+    """
+    leaf = gold.select(F.col("child").alias("node")).join(gold.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    said = predicted.select("child", F.col("parent").alias("said"))
+    parted = gold.join(said, "child", "left").where(~F.col("parent").eqNullSafe(F.col("said"))).select(F.col("child").alias("node"))
+    near = intervals.nearest_marked(gold, parted, own=True).select("node", F.col("steps").alias("__s"))
+    length = lifted(gold).where("root is not null").select("node", F.col("depth").alias("length"))
+    return leaf.join(length, "node").join(near, "node", "left").select("node", "length", F.coalesce("__s", "length").alias("agree"))
 
 
 def node_errors(nodes: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -168,8 +161,9 @@ def axis(moves: DataFrame) -> DataFrame:
     return s.select("dx", "dy", name.alias("axis"))
 
 
-def continents(edges: DataFrame, ranks: DataFrame, levels: int) -> DataFrame:
-    return nearest_marked_ancestor(edges, ranks.where("rank = 0").select("node"), levels).select("node", F.col("ancestor").alias("continent"))
+def continents(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, continent): the nearest ancestor of rank 0, at any height."""
+    return intervals.nearest_marked(edges, ranks.where("rank = 0").select("node")).select("node", F.col("ancestor").alias("continent"))
 
 
 def first_n(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:

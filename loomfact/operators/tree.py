@@ -75,17 +75,14 @@ def uber_root(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle: rows without a root that are left when leaves are taken away again and again."""
+    """Edges of the nodes on cycles: what all rows without a root reach by as many steps as there are such rows."""
     stuck = lifted(edges).where("root is null").select("node")
-    rest = cut(edges.join(stuck, F.col("child") == F.col("node"), "left_semi"))
-    size = rest.count()
-    while size:
-        rest = cut(rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
-        now = rest.count()
-        if now == size:
-            break
-        size = now
-    return rest.select("child", "parent")
+    own = cut(edges.join(stuck, F.col("child") == F.col("node"), "left_semi").select("child", "parent"))
+    state, steps, size = own, 1, own.count()
+    while steps < size:
+        above = state.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
+        state, steps = cut(state.join(above, F.col("parent") == F.col("__c")).select("child", F.col("__p").alias("parent"))), steps * 2
+    return own.join(state.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
 
 
 def broken_cycles(edges: DataFrame, weights: DataFrame) -> DataFrame:

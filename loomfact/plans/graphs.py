@@ -75,7 +75,7 @@ def person_components(t: Tables) -> DataFrame:
     return graph.components(_sparse(t))
 
 
-@query("shortest_paths", f"WITH RECURSIVE {_SPARSE}, w(node, steps) AS (SELECT min(a), 0::BIGINT FROM e UNION SELECT e.b, steps + 1 FROM w JOIN e ON e.a = w.node WHERE steps < 30) SELECT node, min(steps) AS steps FROM w GROUP BY node")
+@query("shortest_paths", f"WITH RECURSIVE {_SPARSE}, w(node, steps) USING KEY (node) AS (SELECT min(a), 0::BIGINT FROM e UNION SELECT e.b, min(steps) + 1 FROM w JOIN e ON e.a = w.node WHERE e.b NOT IN (SELECT node FROM recurring.w) GROUP BY e.b) SELECT node, steps FROM w")
 def shortest_paths(t: Tables) -> DataFrame:
     edges = _sparse(t)
     start = edges.agg(F.min("a")).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aliases, hierarchy, split
-from ..operators.graph import cut
+from ..operators.graph import scratch
 from ..registry import Tables, query
 from ..streaming import incremental
 
@@ -155,8 +155,4 @@ def running_genre(t: Tables) -> DataFrame:
 
 
 def _scratch(t: Tables) -> str:
-    where = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        cut(t.spark.range(1))
-        where = t.spark.sparkContext.getCheckpointDir()
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch(t.spark)}/stream-{uuid.uuid4().hex}"

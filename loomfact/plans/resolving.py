@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import resolve
+from ..operators import intervals, resolve
 from ..registry import Tables, query
 from .graphs import _PLACES, gold, places
 from .narrative import _HEAP, _heap
@@ -29,7 +29,7 @@ def _text_edges(t: Tables) -> DataFrame:
 
 @query("continents", f"WITH RECURSIVE {_HEAP}, {_RANKS}, w(node, up, k) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.node, e.parent, k + 1 FROM w JOIN e ON e.child = w.up WHERE w.up NOT IN (SELECT node FROM k WHERE rank = 0)) SELECT node, up AS continent FROM w WHERE up IN (SELECT node FROM k WHERE rank = 0)")
 def continents(t: Tables) -> DataFrame:
-    return resolve.continents(_heap(t), _ranks(t), 40)
+    return resolve.continents(_heap(t), _ranks(t))
 
 
 @query("contained_flipped", f"WITH x AS (SELECT p_name AS child, p_type AS parent FROM part UNION ALL SELECT left(p_type, 4), p_type FROM part) SELECT CASE WHEN starts_with(parent, child) AND parent <> child THEN parent ELSE child END AS child, CASE WHEN starts_with(parent, child) AND parent <> child THEN child ELSE parent END AS parent FROM x")
@@ -43,7 +43,7 @@ def without_inversions(t: Tables) -> DataFrame:
     return resolve.without_inversions(_heap(t), _ranks(t))
 
 
-@query("place_tiers", f"WITH {_HEAP}, {_RANKS} SELECT child AS node, greatest(c.rank, p.rank + 1)::BIGINT AS tier FROM e JOIN k c ON c.node = e.child JOIN k p ON p.node = e.parent")
+@query("place_tiers", f"WITH RECURSIVE {_HEAP}, {_RANKS}, w(node, tier) AS (SELECT node, rank FROM k WHERE node NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, greatest(k.rank, tier + 1) FROM w JOIN e ON e.parent = w.node JOIN k ON k.node = e.child) SELECT node, tier::BIGINT AS tier FROM w WHERE node IN (SELECT child FROM e)")
 def place_tiers(t: Tables) -> DataFrame:
     return resolve.tiers(_heap(t), _ranks(t)).select("node", F.col("tier").cast("long").alias("tier"))
 
@@ -85,7 +85,7 @@ def caught_orphans(t: Tables) -> DataFrame:
 @query("safe_moves", f"WITH RECURSIVE {_HEAP}, m AS (SELECT DISTINCT l_partkey % 500 + 1 AS child, l_suppkey AS parent FROM lineitem), w(child, parent, up) AS (SELECT child, parent, parent FROM m UNION ALL SELECT w.child, w.parent, e.parent FROM w JOIN e ON e.child = w.up) SELECT child, parent FROM m WHERE child <> parent AND (child, parent) NOT IN (SELECT child, parent FROM w WHERE up = child AND child <> parent)")
 def safe_moves(t: Tables) -> DataFrame:
     moves = t.lineitem.select((F.col("l_partkey") % 500 + 1).alias("child"), F.col("l_suppkey").alias("parent")).distinct()
-    return resolve.safe_moves(_heap(t), moves, 64)
+    return resolve.safe_moves(_heap(t), moves)
 
 
 @query("applied_changes", f"WITH {_PLACES}, c AS (SELECT 's' || s_suppkey AS child, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'n' || s_suppkey % 25 END AS new, s_acctbal > 0 AS selected FROM supplier), b AS (SELECT coalesce(p.child, c.child) AS child, CASE WHEN c.child IS NOT NULL THEN c.new ELSE p.parent END AS parent FROM p FULL JOIN (SELECT * FROM c WHERE selected) c ON c.child = p.child) SELECT * FROM b WHERE parent IS NOT NULL")
@@ -113,7 +113,7 @@ SELECT node, max(length) AS length, max(agree) AS agree FROM w GROUP BY node""",
 )
 def chain_accuracy(t: Tables) -> DataFrame:
     said = _heap(t).select("child", F.when(F.col("child") % 7 == 0, F.lit(1)).otherwise(F.col("parent")).alias("parent"))
-    return resolve.chain_accuracy(said, _heap(t), 64)
+    return resolve.chain_accuracy(said, _heap(t))
 
 
 @query(
@@ -262,3 +262,62 @@ def usable_splits(t: Tables) -> DataFrame:
     n = F.char_length("text")
     g = t.documents.groupBy("source").agg(F.count("*").alias("chapters"), F.max(n).alias("m"), F.sum(n).alias("s"))
     return g.select("source", "chapters", F.when(F.col("chapters") < 3, "too_few").when(F.col("m") > 50000, "too_long").when(F.col("s") < 2000, "too_short").otherwise("usable").alias("verdict"))
+
+
+#: The parts as one path, each below the one before it: as deep as there are parts.
+_LINE = "e AS (SELECT p_partkey AS child, p_partkey - 1 AS parent FROM part WHERE p_partkey > 1)"
+
+
+def _line(t: Tables) -> DataFrame:
+    return t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - 1).alias("parent"))
+
+
+@query("line_tour", "SELECT p_partkey AS node, p_partkey - 1 AS depth, p_partkey - 1 AS enter, 2 * (SELECT count(*) FROM part) - p_partkey AS leave FROM part")
+def line_tour(t: Tables) -> DataFrame:
+    return intervals.numbered(_line(t)).select("node", "depth", "enter", "leave")
+
+
+@query("line_continents", f"WITH {_LINE}, {_RANKS} SELECT child AS node, max(k.node) AS continent FROM e JOIN k ON k.rank = 0 AND k.node < e.child GROUP BY child")
+def line_continents(t: Tables) -> DataFrame:
+    return resolve.continents(_line(t), _ranks(t))
+
+
+@query("line_accuracy", f"WITH {_LINE}, d AS (SELECT max(p_partkey) AS last FROM part), c AS (SELECT max(child) AS parted FROM e WHERE child % 997 = 5) SELECT last AS node, last - 1 AS length, coalesce(last - parted, last - 1) AS agree FROM d, c")
+def line_accuracy(t: Tables) -> DataFrame:
+    said = _line(t).withColumn("parent", F.when(F.col("child") % 997 == 5, F.lit(1)).otherwise(F.col("parent")))
+    said = said.withColumn("parent", F.when((F.col("child") % 997 == 5) & (F.col("child") == 2), F.lit(0)).otherwise(F.col("parent")))
+    return resolve.chain_accuracy(said, _line(t))
+
+
+_ASKED = "q AS (SELECT DISTINCT l_partkey AS a, l_partkey * 7 % (SELECT count(*) FROM part) + 1 AS b FROM lineitem)"
+
+
+def _asked(t: Tables) -> DataFrame:
+    n = t.part.agg(F.count("*").alias("n"))
+    return t.lineitem.select("l_partkey").distinct().join(F.broadcast(n)).select(F.col("l_partkey").alias("a"), (F.col("l_partkey") * 7 % F.col("n") + 1).alias("b"))  # one row
+
+
+@query(
+    "common_ancestors",
+    f"""WITH RECURSIVE {_HEAP}, {_ASKED}, w(a, b, x, y) AS (SELECT a, b, a, b FROM q UNION ALL SELECT a, b, CASE WHEN x > y THEN x // 2 ELSE x END, CASE WHEN y > x THEN y // 2 ELSE y END FROM w WHERE x <> y)
+SELECT a, b, x AS ancestor, length(bin(x)) - 1 AS depth FROM w WHERE x = y""",
+)
+def common_ancestors(t: Tables) -> DataFrame:
+    return intervals.common_ancestors(_asked(t), intervals.numbered(_heap(t)))
+
+
+@query("line_common_ancestors", f"WITH {_ASKED} SELECT a, b, least(a, b) AS ancestor, least(a, b) - 1 AS depth FROM q")
+def line_common_ancestors(t: Tables) -> DataFrame:
+    return intervals.common_ancestors(_asked(t), intervals.numbered(_line(t)))
+
+
+@query("line_ancestor_tests", f"WITH {_ASKED} SELECT a, b, a <= b AS above FROM q")
+def line_ancestor_tests(t: Tables) -> DataFrame:
+    return intervals.above_or_same(_asked(t), intervals.numbered(_line(t)))
+
+
+@query("settled_moves")
+def settled_moves(t: Tables) -> DataFrame:
+    """Suppliers' nations moved among the parts' tree in order: each supplier asks for one move."""
+    moves = t.supplier.select(F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") * 3 % 40 + 1).alias("child"), (F.col("s_nationkey") * 5 + 1).cast("long").alias("parent"))
+    return intervals.settled(_heap(t), moves)[0]
