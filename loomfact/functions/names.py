@@ -109,6 +109,15 @@ ARCHITECTURE = "门道廊厅堂殿阁楼房室间院墙窗阶梯井亭台榭轩
 REALM = "幻梦仙灵冥虚魔"
 SURNAMES = "贾史王薛林李张刘陈杨赵孙周吴郑冯褚卫蒋沈韩朱秦尤许何吕曹魏蔡宋郭潘范彭鲁马苗花方任袁柳酆鲍雷贺倪汤殷苏黄"
 RESIDENT_TITLES = ("夫人", "老爷", "太太", "姑娘", "小姐", "奶奶", "嫂子", "姨妈", "姐姐", "妹妹", "哥哥", "弟弟")
+#: Ranks, offices and houses before 府 that make it a residence.
+RANKS = (
+    "太师", "太尉", "太保", "太傅", "丞相", "相国", "宰相", "国丈",
+    "将军", "元帅", "都督", "刺史", "知府", "知县", "提辖", "总管",
+    "大人", "员外", "长史", "侍郎", "尚书", "学士", "御史",
+    "王", "公", "侯", "伯",
+    "贾", "史", "薛", "林", "荣国", "宁国", "北静王", "南安王",
+    "宿太尉", "高太尉", "蔡太师", "童贯",
+)
 NO_RESIDENTS = ("出", "住", "去", "归", "深", "高阜", "别", "来", "过", "到")
 EVENT_VERBS = "插打杀死烧逃逮擒困埋葬砍斩缢吊投跳溺捆绑尽毙亡殁败"
 OPPOSITES = {"north_of": "south_of", "east_of": "west_of", "northeast_of": "southwest_of", "northwest_of": "southeast_of"}
@@ -133,9 +142,9 @@ def is_realm(name: Column) -> Column:
     return name.rlike(f"[{REALM}]")
 
 
-def is_residence(name: Column, parent_tier: Column, titles: tuple[str, ...] = RESIDENT_TITLES, surnames: str = SURNAMES) -> Column:
-    """Whether a name ending in 府 is a house: of a title, of a surname, or inside a city, kingdom or continent."""
-    owner = name.rlike(f"({'|'.join(titles)})府$") | name.rlike(f"^[{surnames}].?府$")
+def is_residence(name: Column, parent_tier: Column, ranks: tuple[str, ...] = RANKS, surnames: str = SURNAMES) -> Column:
+    """Whether a name ending in 府 is a house: of a rank, of a surname, or inside a city, kingdom or continent."""
+    owner = name.rlike(f"({'|'.join(ranks)})府$") | name.rlike(f"^[{surnames}].?府$")
     return name.rlike("^.+府$") & (owner | F.coalesce(parent_tier.isin("city", "kingdom", "continent"), F.lit(False)))
 
 

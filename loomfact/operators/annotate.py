@@ -45,13 +45,6 @@ def direction_hint(name: Column, table: tuple[tuple[str, str], ...], unless: str
     return F.coalesce(*hits)
 
 
-def roles(counts: DataFrame) -> DataFrame:
-    """person, role and place by how many paragraphs of a scene name them: the first is the lead, those of two or more support."""
-    w = W.partitionBy("scene").orderBy(F.desc("n"), "person")
-    k = F.row_number().over(w)
-    return counts.withColumn("k", k.cast("long")).withColumn("role", F.when(F.col("k") == 1, "lead").when(F.col("n") >= 2, "supporting").otherwise("mentioned"))
-
-
 def first_field(json: Column, *names: str) -> Column:
     """The value of the first of several names of a field that an object has."""
     return F.coalesce(*(F.get_json_object(json, f"$.{n}") for n in names))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import is_url_like
 from ..functions.text import strip
 
 #: Heading patterns by name, whole lines; white space is Unicode's.
@@ -97,3 +98,88 @@ def split_books(books: DataFrame, key: str, text: str, pattern: str | None = Non
     found = split_at(with_mode.where("mode is not null"), key, text, heading, more=("mode",))
     by_size = split_fixed(with_mode.where("mode is null"), key, text).withColumn("mode", F.lit("fixed"))
     return found.join(chosen_mode(books, key, text, modes), key).unionByName(by_size)
+
+
+#: Characters of a book that its genre is told from.
+GENRE_SAMPLE = 50_000
+#: Marks of running text.
+BODY_MARKS = "。，；：！？…、》）」』】"
+#: Marks that begin a line of dialogue.
+DIALOGUE_MARKS = '"「'
+SEPARATOR = "separator"
+
+
+def genre_features(books: DataFrame, key: str, text: str, modes: dict[str, str] = MODES, dialogue: str = DIALOGUE_MARKS) -> DataFrame:
+    """key, size, share of lines of dialogue, number and mean length of paragraphs, modes with two hits, separators.
+
+    Dialogue and paragraphs are told from the first GENRE_SAMPLE characters, as the rule says; hits from the whole book.
+    """
+    sample = F.filter(F.transform(F.split(F.substring(text, 1, GENRE_SAMPLE), "\n"), strip), lambda x: x != "")
+    lines = F.split(text, "\n")
+    matching = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+    hits = [matching(p) for p in modes.values()]
+    rows = books.select(key, F.char_length(text).alias("size"), sample.alias("__s"), sum((F.when(h >= 2, 1).otherwise(0) for h in hits), F.lit(0)).alias("modes"), (hits[list(modes).index(SEPARATOR)] if SEPARATOR in modes else F.lit(0)).alias("separators"))
+    said = F.size(F.filter("__s", lambda x: x.rlike(f"^[{dialogue}]")))
+    n = F.size("__s")
+    mean = F.when(n > 0, F.aggregate("__s", F.lit(0), lambda a, x: a + F.char_length(x)) / n).otherwise(0.0)
+    return rows.select(key, "size", F.when(n > 0, said / n).otherwise(0.0).alias("dialogue"), n.alias("paragraphs"), mean.alias("mean"), "modes", "separators")
+
+
+def text_genre(features: DataFrame, key: str) -> DataFrame:
+    """key, genre and confidence by :func:`genre_features`; the first rule that holds."""
+    c = F.col
+    quiet = (c("dialogue") < 0.01) & (c("modes") == 0)
+    rules = (
+        ("novel", 0.9, c("dialogue") > 0.05),
+        ("poetry", 0.85, (c("mean") < 50) & (c("paragraphs") > 100) & (c("size") < 50_000) & quiet),
+        ("essay", 0.8, (c("size") < 30_000) & quiet),
+        ("short_collection", 0.7, (c("separators") >= 3) & (c("size") < 200_000)),
+    )
+    pick = lambda k: F.coalesce(*(F.when(r[2], F.lit(r[k])) for r in rules), F.lit(("unknown", 0.5)[k]))
+    return features.select(key, pick(0).alias("genre"), pick(1).alias("confidence"))
+
+
+def paginated(books: DataFrame, key: str, text: str, least: int = 5, percent: int = 80) -> DataFrame:
+    """key, title and hits of books whose lines ``title(number)`` have one title in most of their places.
+
+    At least ``least`` such lines, ``percent`` of them with one title; the one seen first on a tie.
+    """
+    rows = books.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"^.{1,20}\(\d+\)\s*$"))
+    titles = rows.select(key, "line_no", strip(F.regexp_extract("line", r"^(.{1,20})\(\d+\)\s*$", 1)).alias("title"))
+    n = titles.groupBy(key, "title").agg(F.count("*").alias("n"), F.min("line_no").alias("seen"))
+    g = n.groupBy(key).agg(F.max_by("title", F.struct("n", -F.col("seen"))).alias("title"), F.max("n").alias("hits"), F.sum("n").alias("total"))
+    return g.where((F.col("total") >= least) & (F.col("hits") * 100 >= F.col("total") * percent)).select(key, "title", "hits")
+
+
+def heuristic_titles(books: DataFrame, key: str, text: str, marks: str = BODY_MARKS, most: int = 30, apart: int = 500) -> DataFrame:
+    """key, line_no and title: short lines behind a blank line that read like titles, ``apart`` characters from the one before.
+
+    A title has at most ``most`` characters, none of ``marks``, a letter or digit, not
+    digits alone, and is no address. Of two that are too close the earlier one stays.
+    Books with fewer than two titles have no row. Of the lines only short ones travel with
+    their text; a fold over a book's candidates chooses the titles.
+    """
+    title = strip("line")
+    fits = (title != "") & (F.char_length(title) <= most) & ~title.rlike(f"[{marks}]") & ~title.rlike(r"(?U)^\d+$") & ~is_url_like(title) & title.rlike(r"(?U)[\p{L}\p{N}]")
+    lines = _lines(books, key, text).select(key, "line_no", (F.char_length("line") + 1).cast("long").alias("size"), (title == "").alias("blank"), F.when(fits, title).alias("title"))
+    w = W.partitionBy(key).orderBy("line_no")
+    placed = lines.withColumn("stop", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("free", F.coalesce(F.lag("blank").over(w), F.lit(True)))
+    found = placed.where(F.col("title").isNotNull() & F.col("free")).select(key, F.struct("line_no", "title", (F.col("stop") - F.col("size")).alias("start"), "stop").alias("c"))
+    books_of = found.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs")).where(F.size("cs") > 1)
+    far = lambda kept, c: (F.size(kept) == 0) | (c["start"] - F.element_at(kept, -1)["stop"] >= apart)
+    kept = F.aggregate("cs", F.slice("cs", 1, 0), lambda kept, c: F.when(far(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+    return books_of.select(key, kept.alias("k")).where(F.size("k") > 1).select(key, F.explode("k").alias("t")).select(key, F.col("t.line_no").cast("long").alias("line_no"), "t.title")
+
+
+def usable(chapters: DataFrame, key: str, words: str) -> DataFrame:
+    """key, chapters, whether the split is usable, and why not.
+
+    Usable: three chapters, none too long; or two of a short book; or five, four fifths of
+    them of a usual size.
+    """
+    w = F.col(words)
+    g = chapters.groupBy(key).agg(F.count("*").alias("chapters"), F.max(w).alias("most"), F.sum(w).alias("total"), F.count_if(w.between(2000, 20_000)).alias("usual"))
+    n, long, big = F.col("chapters"), F.col("most") > 50_000, F.col("total") > 80_000
+    good = ((n >= 3) & ~long) | ((n >= 2) & ~big) | ((n >= 5) & (F.col("usual") * 5 >= n * 4))
+    why = F.when(n == 1, F.when(F.col("total") > 50_000, "single_huge_chapter").otherwise("single_chapter_small")).when((n == 2) & big, "only_2_chapters").when(long, "oversized_chapter").when(n < 3, "too_few_chapters").otherwise("other")
+    return g.select(key, "chapters", good.alias("usable"), F.when(good, "").otherwise(why).alias("reason"))

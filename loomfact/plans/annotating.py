@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
-from ..operators import annotate, facts, resolve
+from ..operators import annotate, facts, resolve, scenes
 from ..registry import Tables, query
 from .narrative import _AT, _LIST, NAMES, mentions, names
 
@@ -59,11 +59,11 @@ def checked_relations(t: Tables) -> DataFrame:
 
 @query(
     "chapter_centroids",
-    """WITH v AS (SELECT l_orderkey % 500 * 3 AS chapter, l_partkey % 90 AS x, l_suppkey % 70 AS y FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 = 0), c AS (SELECT DISTINCT l_orderkey % 1500 AS chapter FROM lineitem),
+    """WITH v AS (SELECT l_orderkey % 500 * 3 AS chapter, l_partkey % 90 AS x, l_suppkey % 70 AS y FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT DISTINCT l_orderkey % 1500 AS chapter FROM lineitem),
 n AS (SELECT c.chapter, abs(v.chapter - c.chapter) AS width, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, count(*) AS n FROM c JOIN v ON abs(v.chapter - c.chapter) <= 5 GROUP BY 1, 2) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY chapter ORDER BY width) = 1""",
 )
 def chapter_centroids(t: Tables) -> DataFrame:
-    visits = t.lineitem.where("l_returnflag = 'R' and l_orderkey % 3 = 0").select((F.col("l_orderkey") % 500 * 3).alias("chapter"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_suppkey") % 70).alias("y"))
+    visits = t.lineitem.where("l_returnflag = 'R'").select((F.col("l_orderkey") % 500 * 3).alias("chapter"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_suppkey") % 70).alias("y"))
     return annotate.centroids(visits, t.lineitem.select((F.col("l_orderkey") % 1500).alias("chapter")))
 
 
@@ -93,9 +93,46 @@ def direction_hints(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.coalesce(annotate.direction_hint(name, DIRECTIONS, "方"), F.lit("")).alias("hint"))
 
 
-@query("scene_roles", "WITH c AS (SELECT l_orderkey AS scene, l_suppkey % 20 AS person, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY n DESC, person) AS k FROM c) SELECT *, CASE WHEN k = 1 THEN 'lead' WHEN n >= 2 THEN 'supporting' ELSE 'mentioned' END AS role FROM k")
+_PARAGRAPHS = "p AS (SELECT doc_id AS scene, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+def paragraphs(t: Tables) -> DataFrame:
+    """scene, order and text of each line of the documents."""
+    return t.documents.select(F.col("doc_id").alias("scene"), F.posexplode(F.split("text", "\n")).alias("order", "text"))
+
+
+#: Persons of a scene: what its language's small words stand in for.
+_PERSONS = ("the", "und", "les", "que", "ing", "er")
+
+
+@query(
+    "scene_roles",
+    f"""WITH {_PARAGRAPHS}, c AS (SELECT doc_id AS scene, unnest({list(_PERSONS)}) AS name FROM documents),
+n AS (SELECT scene, name, text, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, name)) - 1 END AS n FROM c LEFT JOIN p USING (scene)),
+g AS (SELECT scene, name, sum(n)::BIGINT AS mentions, count(*) FILTER (WHERE n > 0) AS p, count(*) FILTER (WHERE n > 0 AND left(text, 1) IN ('D', 'T')) AS d FROM n GROUP BY ALL),
+r AS (SELECT scene, name, mentions, CASE WHEN p >= 3 OR d > 0 THEN 1 WHEN p >= 2 THEN 2 ELSE 3 END AS w FROM g)
+SELECT scene, name, mentions, ['lead', 'supporting', 'mentioned'][w] AS role, row_number() OVER (PARTITION BY scene ORDER BY w, mentions DESC, name) AS place FROM r""",
+)
 def scene_roles(t: Tables) -> DataFrame:
-    return annotate.roles(t.lineitem.groupBy(F.col("l_orderkey").alias("scene"), (F.col("l_suppkey") % 20).alias("person")).agg(F.count("*").alias("n")))
+    present = t.documents.select(F.col("doc_id").alias("scene"), F.explode(F.array(*map(F.lit, _PERSONS))).alias("name"))
+    return scenes.character_roles(paragraphs(t), present, ("D", "T"), ("lead", "supporting", "mentioned"))
+
+
+@query("key_dialogue", f"WITH {_PARAGRAPHS} SELECT scene, row_number() OVER w AS rank, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS line FROM p WHERE left(text, 1) IN ('D', 'T', 'É') AND length(text) >= 8 WINDOW w AS (PARTITION BY scene ORDER BY length(text) DESC, k) QUALIFY row_number() OVER w <= 2")
+def key_dialogue(t: Tables) -> DataFrame:
+    """The two longest lines of dialogue of each text, which begin with one of some letters here."""
+    return scenes.key_dialogue(paragraphs(t), "scene", "order", "text", ("D", "T", "É"))
+
+
+_TONES = (("battle", "[kx]h?[aeo]"), ("sad", "un|[mp]ort"), ("happy", "[jg]o[iy]|lich"), ("tense", "ough|eint"))
+
+
+@query(
+    "tones",
+    f"WITH c AS (SELECT doc_id, {', '.join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in _TONES)} FROM documents) SELECT doc_id, CASE WHEN greatest(battle, sad, happy, tense) < 3 OR battle IS NULL THEN '平静' WHEN battle = greatest(battle, sad, happy, tense) THEN 'battle' WHEN sad = greatest(sad, happy, tense) THEN 'sad' WHEN happy >= tense THEN 'happy' ELSE 'tense' END AS tone FROM c",
+)
+def tones(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", scenes.tone(F.col("text"), _TONES).alias("tone"))
 
 
 @query("normalised_fields", "SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN p_type ELSE '' END AS kind FROM part")

@@ -16,7 +16,7 @@ from ..operators import facts, retrieval, tree
 from ..registry import Tables, query
 
 #: Names that the rules are tried on.
-NAMES = ("夹道", "后门", "门", "廊厅", "王氏", "欧氏", "灵山", "幻境", "贾府", "开封府", "王夫人府", "贾母处", "住处", "五儿插蜡处", "老太太处", "荣国府", "www .abc. com", "ｗｗｗ．abc．ｃｎ", "太虚幻境", "林黛玉处", "青城", "史侯家", "二门", "众人之处", "http://x", "阁楼亭")
+NAMES = ("夹道", "后门", "门", "廊厅", "王氏", "欧氏", "灵山", "幻境", "贾府", "开封府", "王夫人府", "贾母处", "住处", "五儿插蜡处", "老太太处", "荣国府", "www .abc. com", "ｗｗｗ．abc．ｃｎ", "太虚幻境", "林黛玉处", "青城", "史侯家", "太师府", "将军府", "大名府", "宁国府", "二门", "众人之处", "http://x", "阁楼亭")
 _LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 _NAMED = f"names AS (SELECT p_partkey AS id, {_LIST}[p_partkey % {len(NAMES)} + 1] AS name, CASE p_size % 3 WHEN 0 THEN 'city' WHEN 1 THEN 'region' END AS tier FROM part)"
 _AT = "l_orderkey * 1000000 + l_partkey * 100 + l_linenumber"
@@ -45,14 +45,15 @@ def name_rules(t: Tables) -> DataFrame:
     return names(t).select("id", nm.is_homonym_prone(n).alias("homonym"), nm.is_surname_shi(n).alias("shi"), nm.is_realm(n).alias("realm"), nm.is_url_like(n).alias("url"))
 
 
+_RANKS = ", ".join(f"'{x}'" for x in nm.RANKS)
 _TITLES = ", ".join(f"'{x}'" for x in nm.RESIDENT_TITLES)
 
 
 @query(
     "residences",
     f"""WITH {_NAMED}, b AS (SELECT *, left(name, length(name) - 1) AS prefix FROM names),
-h AS (SELECT *, len(list_filter([{_TITLES}], lambda x: ends_with(prefix, x))) > 0 AS titled FROM b)
-SELECT id, ends_with(name, '府') AND length(name) >= 2 AND (titled OR (length(prefix) <= 2 AND contains('{nm.SURNAMES}', left(prefix, 1))) OR coalesce(tier = 'city', false)) AS residence,
+h AS (SELECT *, len(list_filter([{_TITLES}], lambda x: ends_with(prefix, x))) > 0 AS titled, len(list_filter([{_RANKS}], lambda x: ends_with(prefix, x))) > 0 AS ranked FROM b)
+SELECT id, ends_with(name, '府') AND length(name) >= 2 AND (ranked OR (length(prefix) <= 2 AND contains('{nm.SURNAMES}', left(prefix, 1))) OR coalesce(tier = 'city', false)) AS residence,
 ends_with(name, '处') AND length(name) >= 2 AND prefix NOT IN ({", ".join(f"'{x}'" for x in nm.NO_RESIDENTS)}) AND ((length(prefix) <= 5 AND (contains('{nm.SURNAMES}', left(prefix, 1)) OR titled)) OR (length(prefix) <= 4 AND length(translate(prefix, '{nm.EVENT_VERBS}', '')) = length(prefix))) AS of_person FROM h""",
 )
 def residences(t: Tables) -> DataFrame:
@@ -190,13 +191,13 @@ def world_summary(t: Tables) -> DataFrame:
 
 @query(
     "concept_overrides",
-    """WITH o AS (SELECT user_id AS name, max(CASE WHEN event_type = 'click' THEN 'n' || event_id END) AS rn, max(CASE WHEN event_type = 'view' THEN 'c' || event_id END) AS rc, bool_or(event_type = 'error') AS gone FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+    """WITH o AS (SELECT user_id AS name, max(CASE WHEN event_type = 'click' THEN 'n' || event_id END) AS rn, max(CASE WHEN event_type = 'view' THEN 'c' || event_id END) AS rc, bool_or(event_type = 'error') AS gone FROM events GROUP BY user_id)
 SELECT coalesce(rn, c_name) AS name, coalesce(rc, c_mktsegment) AS category FROM customer LEFT JOIN o ON o.name = c_custkey WHERE NOT coalesce(gone, false)""",
 )
 def concept_overrides(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "rename").when(F.col("event_type") == "view", "category").when(F.col("event_type") == "error", "delete")
     value = F.when(F.col("event_type") == "click", F.concat(F.lit("n"), F.col("event_id").cast("string"))).when(F.col("event_type") == "view", F.concat(F.lit("c"), F.col("event_id").cast("string")))
-    named = t.events.where("event_id % 5 = 0").join(t.customer.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id")
+    named = t.events.join(t.customer.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id")
     changes = named.select(F.col("c_name").alias("name"), kind.alias("kind"), value.alias("value")).where("kind is not null")
     return facts.renamed(t.customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category")), changes)
 
@@ -214,13 +215,13 @@ def entity_scenes(t: Tables) -> DataFrame:
 
 @query(
     "keyword_context",
-    "WITH h AS (SELECT source, doc_id, left(text, 200) AS line FROM documents WHERE contains(lower(text), ' the ') OR contains(lower(text), ' und ')), u AS (SELECT source, doc_id, sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM h) SELECT * FROM u WHERE used <= 2000",
+    "WITH h AS (SELECT source, doc_id, text AS line FROM documents WHERE contains(lower(text), ' the ') OR contains(lower(text), ' und ')), u AS (SELECT source, doc_id, sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM h) SELECT * FROM u WHERE used <= 20000",
 )
 def keyword_context(t: Tables) -> DataFrame:
     """Passages that hold one of the words, up to the budget of characters."""
     low = F.lower("text")
-    hit = t.documents.where(F.contains(low, F.lit(" the ")) | F.contains(low, F.lit(" und "))).select("source", "doc_id", F.substring("text", 1, 200).alias("line"))
-    return retrieval.within_budget(hit, ["source"], "doc_id", "line", 2000).select("source", "doc_id", "used")
+    hit = t.documents.where(F.contains(low, F.lit(" the ")) | F.contains(low, F.lit(" und "))).select("source", "doc_id", F.col("text").alias("line"))
+    return retrieval.within_budget(hit, ["source"], "doc_id", "line", 20000).select("source", "doc_id", "used")
 
 
 @query(

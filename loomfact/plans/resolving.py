@@ -6,11 +6,11 @@ parts as a heap, where place k lies in place k / 2.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import intervals, resolve
+from ..operators import intervals, resolve, split
 from ..registry import Tables, query
 from .graphs import _PLACES, gold, places
 from .narrative import _HEAP, _heap
@@ -50,21 +50,21 @@ def place_tiers(t: Tables) -> DataFrame:
 
 @query(
     "acyclic_places",
-    f"""WITH x AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 9 ELSE p_partkey + 1 END AS parent, p_size * 10000 + p_partkey % 10 AS w FROM part WHERE p_partkey BETWEEN 10 AND (SELECT max(p_partkey) // 10 * 10 - 1 FROM part)),
-m AS (SELECT child // 10 AS g, min(p_size * 10000000 + child) % 10000000 AS c FROM x JOIN part ON p_partkey = child GROUP BY 1) SELECT child, CASE WHEN child IN (SELECT c FROM m) THEN 0 ELSE parent END AS parent FROM x""",
+    """WITH r AS (SELECT p_partkey AS child, p_partkey // 10 AS g, p_size, min(p_partkey) OVER (PARTITION BY p_partkey // 10) AS lo, max(p_partkey) OVER (PARTITION BY p_partkey // 10) AS hi FROM part),
+m AS (SELECT g, arg_min(child, p_size::BIGINT * 100000000 + child) AS c FROM r GROUP BY g) SELECT child, CASE WHEN child = c THEN 0 WHEN child = hi THEN lo ELSE child + 1 END AS parent FROM r JOIN m USING (g)""",
 )
 def acyclic_places(t: Tables) -> DataFrame:
-    """Rings of ten parts each lose their weakest edge, whose child goes below the top."""
-    top = t.part.agg(F.max("p_partkey")).first()[0] // 10 * 10 - 1
-    k = F.col("p_partkey")
-    edges = t.part.where(k.between(10, top)).select(k.alias("child"), F.when(k % 10 == 9, k - 9).otherwise(k + 1).alias("parent"), F.col("p_size").alias("weight"))
-    text = edges.select(F.lpad(F.col("child").cast("string"), 12, "0").alias("child"), F.lpad(F.col("parent").cast("string"), 12, "0").alias("parent"), "weight")
-    return resolve.acyclic(text, text, "0").select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent"))
+    """All parts in rings of ten (the first and last of fewer), which lose their weakest edge; its child goes below the top."""
+    k, ring = F.col("p_partkey"), Window.partitionBy(F.floor(F.col("p_partkey") / 10))
+    following = F.when(k == F.max(k).over(ring), F.min(k).over(ring)).otherwise(k + 1)
+    text = lambda c: F.lpad(c.cast("string"), 12, "0")
+    edges = t.part.select(text(k).alias("child"), text(following).alias("parent"), F.col("p_size").alias("weight"))
+    return resolve.acyclic(edges, edges, "0").select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent"))
 
 
-@query("novel_eras", "WITH h AS (SELECT source AS novel, max(contains(text, ' the ')::INT) + max(contains(text, ' of ')::INT) AS a, max(contains(text, ' und ')::INT) + max(contains(text, ' der ')::INT) AS b FROM documents WHERE lang <> 'fr' GROUP BY 1) SELECT novel, CASE WHEN b >= 2 THEN 'ming' WHEN a >= 2 THEN 'song' ELSE 'other' END AS era FROM h")
+@query("novel_eras", "WITH h AS (SELECT source AS novel, max(contains(text, ' the ')::INT) + max(contains(text, ' of ')::INT) AS a, max(contains(text, ' und ')::INT) + max(contains(text, ' der ')::INT) AS b FROM documents GROUP BY 1) SELECT novel, CASE WHEN b >= 2 THEN 'ming' WHEN a >= 2 THEN 'song' ELSE 'other' END AS era FROM h")
 def novel_eras(t: Tables) -> DataFrame:
-    names = t.documents.where("lang <> 'fr'").select(F.col("source").alias("novel"), F.col("text").alias("name"))
+    names = t.documents.select(F.col("source").alias("novel"), F.col("text").alias("name"))
     return resolve.first_era(names, (("ming", (" und ", " der ")), ("song", (" the ", " of "))), "other")
 
 
@@ -181,31 +181,22 @@ def live_timing(t: Tables) -> DataFrame:
     return g.select("task", "done", mean.alias("mean_ms"), (mean * (30 - F.col("done"))).alias("eta_ms"))
 
 
-@query("heuristic_titles", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, line_no::BIGINT AS line_no, line FROM l WHERE length(trim(line, ' ')) BETWEEN 2 AND 30 AND NOT regexp_matches(line, '[,;:!?。，；：！？]')")
-def heuristic_titles(t: Tables) -> DataFrame:
-    """Short lines without the marks of running text."""
-    rows = tx.lines(t.documents, "doc_id", "text")
-    size = F.char_length(F.trim("line"))
-    return rows.where(size.between(2, 30) & ~F.col("line").rlike("[,;:!?。，；：！？]")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
-
-
-@query("key_dialogue", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, line_no::BIGINT AS line_no, left(line, 60) AS line FROM l WHERE length(line) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line_no) <= 2")
-def key_dialogue(t: Tables) -> DataFrame:
-    """The two longest lines of each text, cut to sixty characters."""
-    rows = tx.lines(t.documents, "doc_id", "text").where("line <> ''")
-    return resolve.first_n(rows, ["doc_id"], 2, F.desc(F.char_length("line")), "line_no").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.substring("line", 1, 60).alias("line"))
-
-
-_TONES = (("dark", "(?i)un|not"), ("warm", "(?i)the|der"), ("calm", "(?i)le|la"))
+_LINES = "l AS (SELECT doc_id, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)), 1) - 1 AS line_no, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))) AS line FROM documents)"
 
 
 @query(
-    "tones",
-    "SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'neutral' WHEN a >= b AND a >= c THEN 'dark' WHEN b >= c THEN 'warm' ELSE 'calm' END AS tone FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)un|not')) AS a, len(regexp_extract_all(text, '(?i)the|der')) AS b, len(regexp_extract_all(text, '(?i)le|la')) AS c FROM documents)",
+    "heuristic_titles",
+    rf"""WITH RECURSIVE {_LINES}, x AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+y AS (SELECT *, coalesce(lag(title) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS before FROM x),
+c AS (SELECT *, start + length(line) + 1 AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM y WHERE before = '' AND length(title) BETWEEN 1 AND 30 AND NOT regexp_matches(title, '[,;:!?]') AND NOT regexp_matches(title, '^[0-9]+$') AND regexp_matches(title, '[\pL\pN]')
+      AND NOT regexp_matches(replace(title, ' ', ''), '(?i)https?://|www\.|\.com|\.cn|\.net|\.org|\.txt')),
+w(doc_id, k, stop, kept) AS (SELECT doc_id, k, stop, true FROM c WHERE k = 1 UNION ALL SELECT c.doc_id, c.k, CASE WHEN c.start - w.stop >= 500 THEN c.stop ELSE w.stop END, c.start - w.stop >= 500 FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k + 1)
+SELECT doc_id, line_no, title FROM w JOIN c USING (doc_id, k) WHERE kept QUALIFY count(*) OVER (PARTITION BY doc_id) > 1""",
 )
-def tones(t: Tables) -> DataFrame:
-    """The tone whose pattern a text has most often, the first on a tie."""
-    return t.documents.select("doc_id", tx.most_matched(F.col("text"), _TONES, "neutral").alias("tone"))
+def heuristic_titles(t: Tables) -> DataFrame:
+    """Short lines of the documents, whose paragraphs are set apart by blank lines."""
+    books = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return split.heuristic_titles(books, "doc_id", "text", ",;:!?")
 
 
 @query("title_words", r"SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(string_split(text, chr(10))[1], '^[A-Za-z]+ ?[0-9]* ?', ''), '[A-Za-z]{3,}')) AS word FROM documents)")
@@ -222,22 +213,34 @@ def segments(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(n > 4000, 3).when(n > 2000, 2).otherwise(1).cast("long").alias("parts"), n.cast("long").alias("chars"))
 
 
-@query("text_genres", "SELECT doc_id, CASE WHEN length(text) < 200 THEN 'fragment' WHEN len(string_split(text, chr(10))) > length(text) / 40.0 THEN 'verse' WHEN len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) * 2 > len(string_split(text, chr(10))) THEN 'table' ELSE 'prose' END AS genre FROM documents")
+#: Modes and dialogue of the stand-in texts.
+_MODES = {"capital": "^T[a-z]", "separator": "^[A-Z][a-z]{0,4}[.!?]$"}
+
+
+@query(
+    "text_genres",
+    rf"""WITH d AS (SELECT doc_id, length(text) AS size, string_split(text, chr(10)) AS ls, list_filter(list_transform(string_split(left(text, 50000), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, size, len(s) AS n, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: left(x, 1) IN ('D', 'É'))) / len(s) ELSE 0 END AS dialogue, CASE WHEN len(s) > 0 THEN list_sum(list_transform(s, lambda x: length(x))) / len(s) ELSE 0 END AS mean,
+      len(list_filter(ls, lambda x: regexp_matches(x, '^T[a-z]'))) AS h1, len(list_filter(ls, lambda x: regexp_matches(x, '^[A-Z][a-z]{{0,4}}[.!?]$'))) AS h2 FROM d),
+g AS (SELECT *, dialogue < 0.01 AND h1 < 2 AND h2 < 2 AS quiet FROM f)
+SELECT doc_id, CASE WHEN dialogue > 0.05 THEN 'novel' WHEN mean < 50 AND n > 100 AND size < 50000 AND quiet THEN 'poetry' WHEN size < 30000 AND quiet THEN 'essay' WHEN h2 >= 3 AND size < 200000 THEN 'short_collection' ELSE 'unknown' END AS genre,
+       CASE WHEN dialogue > 0.05 THEN 0.9 WHEN mean < 50 AND n > 100 AND size < 50000 AND quiet THEN 0.85 WHEN size < 30000 AND quiet THEN 0.8 WHEN h2 >= 3 AND size < 200000 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM g""",
+)
 def text_genres(t: Tables) -> DataFrame:
-    """Ordered rules over length and lines."""
-    parts, n = F.split("text", "\n"), F.char_length("text")
-    barred = F.size(F.filter(parts, lambda x: F.contains(x, F.lit("|"))))
-    kind = F.when(n < 200, "fragment").when(F.size(parts) > n / 40.0, "verse").when(barred * 2 > F.size(parts), "table").otherwise("prose")
-    return t.documents.select("doc_id", kind.alias("genre"))
+    return split.text_genre(split.genre_features(t.documents, "doc_id", "text", _MODES, "DÉ"), "doc_id")
+
 
+_BOOKS = "b AS (SELECT c_nationkey AS book, string_agg(n_name || CASE WHEN c_acctbal < 500 THEN ' ' || n_regionkey ELSE '' END || '(' || c_custkey || ')', chr(10) ORDER BY c_custkey) AS text FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)"
 
-@query("paginated_books", r"WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT source, regexp_extract(line, '^([A-Za-z]{3,}) ', 1) AS title, count(*) AS n FROM l WHERE regexp_matches(line, '^([A-Za-z]{3,}) ') GROUP BY 1, 2), s AS (SELECT source, sum(n) AS total FROM m GROUP BY 1) SELECT source, arg_max(title, n * 1000000 - length(title)) FILTER (WHERE n >= 5) AS title, max(n) AS n FROM m JOIN s USING (source) GROUP BY source HAVING max(n) >= 5 AND max(n) * 50 >= max(total)")
+
+@query("paginated_books", rf"WITH {_BOOKS}, l AS (SELECT book, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM b), m AS (SELECT book, k, trim(regexp_extract(line, '^(.{{1,20}})\((\d+)\)\s*$', 1)) AS title FROM l WHERE regexp_matches(line, '^.{{1,20}}\(\d+\)\s*$')), n AS (SELECT book, title, count(*) AS n, min(k) AS seen FROM m GROUP BY ALL) SELECT book, arg_max(title, n * 1000000 - seen) AS title, max(n) AS hits FROM n GROUP BY book HAVING sum(n) >= 5 AND max(n) * 100 >= sum(n) * 80")
 def paginated_books(t: Tables) -> DataFrame:
-    """Books of which one title leads many lines, and its share of such lines is large enough."""
-    lines = t.documents.select("source", F.explode(F.split("text", "\n")).alias("line"))
-    n = lines.select("source", F.regexp_extract("line", "^([A-Za-z]{3,}) ", 1).alias("title")).where("title <> ''").groupBy("source", "title").agg(F.count("*").alias("n"))
-    g = n.groupBy("source").agg(F.max_by("title", F.struct("n", -F.char_length("title"))).alias("title"), F.max("n").alias("n"), F.sum("n").alias("total"))
-    return g.where((F.col("n") >= 5) & (F.col("n") * 50 >= F.col("total"))).select("source", "title", "n")
+    """A nation's customers as the numbered pages of its book; some stand under another title."""
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    line = F.concat("n_name", F.when(F.col("c_acctbal") < 500, F.concat(F.lit(" "), F.col("n_regionkey").cast("string"))).otherwise(""), F.lit("("), F.col("c_custkey").cast("string"), F.lit(")"))
+    pages = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line"))))
+    books = c.groupBy(F.col("c_nationkey").alias("book")).agg(F.array_join(F.transform(pages, lambda x: x["line"]), "\n").alias("text"))
+    return split.paginated(books, "book", "text")
 
 
 @query("geo_types", "WITH s AS (SELECT s_nationkey AS novel, count(*) AS n, count(*) FILTER (WHERE s_acctbal > 5000) AS hit FROM supplier GROUP BY 1) SELECT novel, CASE WHEN hit * 100 >= n * 20 THEN 'realistic' WHEN hit * 100 >= n * 15 THEN 'mixed' ELSE 'fantasy' END AS kind FROM s")
@@ -257,22 +260,22 @@ def chapter_entities(t: Tables) -> DataFrame:
     return named("person", "s", "l_suppkey").union(named("place", "p", "l_partkey")).union(other).distinct()
 
 
-@query("usable_splits", "SELECT source, count(*) AS chapters, CASE WHEN count(*) < 3 THEN 'too_few' WHEN max(length(text)) > 50000 THEN 'too_long' WHEN sum(length(text)) < 2000 THEN 'too_short' ELSE 'usable' END AS verdict FROM documents GROUP BY source")
+@query("usable_splits", "WITH g AS (SELECT o_custkey AS book, count(*) AS chapters, max(floor(o_totalprice / 8)) AS most, sum(floor(o_totalprice / 8)) AS total, count(*) FILTER (WHERE floor(o_totalprice / 8) BETWEEN 2000 AND 20000) AS usual FROM orders GROUP BY 1), u AS (SELECT *, (chapters >= 3 AND most <= 50000) OR (chapters >= 2 AND total <= 80000) OR (chapters >= 5 AND usual * 5 >= chapters * 4) AS usable FROM g) SELECT book, chapters, usable, CASE WHEN usable THEN '' WHEN chapters = 1 THEN CASE WHEN total > 50000 THEN 'single_huge_chapter' ELSE 'single_chapter_small' END WHEN chapters = 2 AND total > 80000 THEN 'only_2_chapters' WHEN most > 50000 THEN 'oversized_chapter' WHEN chapters < 3 THEN 'too_few_chapters' ELSE 'other' END AS reason FROM u")
 def usable_splits(t: Tables) -> DataFrame:
-    n = F.char_length("text")
-    g = t.documents.groupBy("source").agg(F.count("*").alias("chapters"), F.max(n).alias("m"), F.sum(n).alias("s"))
-    return g.select("source", "chapters", F.when(F.col("chapters") < 3, "too_few").when(F.col("m") > 50000, "too_long").when(F.col("s") < 2000, "too_short").otherwise("usable").alias("verdict"))
+    """Customers as books, their orders as chapters of so many words."""
+    words = F.floor(F.col("o_totalprice") / 8)
+    return split.usable(t.orders.select(F.col("o_custkey").alias("book"), words.alias("words")), "book", "words")
 
 
 #: The parts as one path, each below the one before it: as deep as there are parts.
-_LINE = "e AS (SELECT p_partkey AS child, p_partkey - 1 AS parent FROM part WHERE p_partkey > 1)"
+_LINE = "e AS (SELECT p_partkey AS child, p_partkey - 1 AS parent FROM part WHERE p_partkey > 0)"
 
 
 def _line(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - 1).alias("parent"))
+    return t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - 1).alias("parent"))
 
 
-@query("line_tour", "SELECT p_partkey AS node, p_partkey - 1 AS depth, p_partkey - 1 AS enter, 2 * (SELECT count(*) FROM part) - p_partkey AS leave FROM part")
+@query("line_tour", "SELECT p_partkey AS node, p_partkey AS depth, p_partkey AS enter, 2 * (SELECT count(*) FROM part) - 1 - p_partkey AS leave FROM part")
 def line_tour(t: Tables) -> DataFrame:
     return intervals.numbered(_line(t)).select("node", "depth", "enter", "leave")
 
@@ -282,31 +285,30 @@ def line_continents(t: Tables) -> DataFrame:
     return resolve.continents(_line(t), _ranks(t))
 
 
-@query("line_accuracy", f"WITH {_LINE}, d AS (SELECT max(p_partkey) AS last FROM part), c AS (SELECT max(child) AS parted FROM e WHERE child % 997 = 5) SELECT last AS node, last - 1 AS length, coalesce(last - parted, last - 1) AS agree FROM d, c")
+@query("line_accuracy", f"WITH {_LINE}, d AS (SELECT max(p_partkey) AS last FROM part), c AS (SELECT max(child) AS parted FROM e WHERE child % 997 = 5) SELECT last AS node, last AS length, coalesce(last - parted, last) AS agree FROM d, c")
 def line_accuracy(t: Tables) -> DataFrame:
-    said = _line(t).withColumn("parent", F.when(F.col("child") % 997 == 5, F.lit(1)).otherwise(F.col("parent")))
-    said = said.withColumn("parent", F.when((F.col("child") % 997 == 5) & (F.col("child") == 2), F.lit(0)).otherwise(F.col("parent")))
+    said = _line(t).withColumn("parent", F.when(F.col("child") % 997 == 5, F.lit(0)).otherwise(F.col("parent")))
     return resolve.chain_accuracy(said, _line(t))
 
 
-_ASKED = "q AS (SELECT DISTINCT l_partkey AS a, l_partkey * 7 % (SELECT count(*) FROM part) + 1 AS b FROM lineitem)"
+_ASKED = "q AS (SELECT DISTINCT l_partkey AS a, l_partkey * 7 % (SELECT count(*) FROM part) AS b FROM lineitem)"
 
 
 def _asked(t: Tables) -> DataFrame:
     n = t.part.agg(F.count("*").alias("n"))
-    return t.lineitem.select("l_partkey").distinct().join(F.broadcast(n)).select(F.col("l_partkey").alias("a"), (F.col("l_partkey") * 7 % F.col("n") + 1).alias("b"))  # one row
+    return t.lineitem.select("l_partkey").distinct().join(F.broadcast(n)).select(F.col("l_partkey").alias("a"), (F.col("l_partkey") * 7 % F.col("n")).alias("b"))  # one row
 
 
 @query(
     "common_ancestors",
     f"""WITH RECURSIVE {_HEAP}, {_ASKED}, w(a, b, x, y) AS (SELECT a, b, a, b FROM q UNION ALL SELECT a, b, CASE WHEN x > y THEN x // 2 ELSE x END, CASE WHEN y > x THEN y // 2 ELSE y END FROM w WHERE x <> y)
-SELECT a, b, x AS ancestor, length(bin(x)) - 1 AS depth FROM w WHERE x = y""",
+SELECT a, b, x AS ancestor, length(bin(x)) - 1 AS depth FROM w WHERE x = y AND x > 0""",
 )
 def common_ancestors(t: Tables) -> DataFrame:
     return intervals.common_ancestors(_asked(t), intervals.numbered(_heap(t)))
 
 
-@query("line_common_ancestors", f"WITH {_ASKED} SELECT a, b, least(a, b) AS ancestor, least(a, b) - 1 AS depth FROM q")
+@query("line_common_ancestors", f"WITH {_ASKED} SELECT a, b, least(a, b) AS ancestor, least(a, b) AS depth FROM q")
 def line_common_ancestors(t: Tables) -> DataFrame:
     return intervals.common_ancestors(_asked(t), intervals.numbered(_line(t)))
 
@@ -318,6 +320,9 @@ def line_ancestor_tests(t: Tables) -> DataFrame:
 
 @query("settled_moves")
 def settled_moves(t: Tables) -> DataFrame:
-    """Suppliers' nations moved among the parts' tree in order: each supplier asks for one move."""
-    moves = t.supplier.select(F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") * 3 % 40 + 1).alias("child"), (F.col("s_nationkey") * 5 + 1).cast("long").alias("parent"))
-    return intervals.settled(_heap(t), moves)[0]
+    """Places moved in order, one for each supplier; every tenth asks to go below a child of its own."""
+    n = t.part.agg(F.count("*").alias("n"))
+    k = F.col("s_suppkey")
+    child = k * 13 % F.col("n") + 1
+    rows = t.supplier.join(F.broadcast(n)).select(k.alias("seq"), child.alias("child"), F.when(k % 10 == 0, child * 2 + 1).otherwise(F.col("s_nationkey") + 1).alias("parent"))  # one row
+    return intervals.settled(_heap(t), rows)[0]
