@@ -15,43 +15,6 @@ def search(docs: DataFrame, key: str, text: str, needle: str, limit: int) -> Dat
     return hit.select(key, snippet(F.col(text), F.lit(needle)).alias("snippet"))
 
 
-def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct lower-case words of each row."""
-    return docs.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-
-
-def ungrounded(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Names of which neither they nor an alias of two letters or more occur as a word; names with short forms only stay.
-
-    ``names`` has name and alias (one row each, the name itself included). The text is
-    taken apart into words once, so this is an equi-join and not a scan for each name.
-    """
-    long = names.where(F.char_length("alias") >= 2)
-    seen = long.join(words_of(docs, key, text).select(F.col("word").alias("w")).distinct(), F.lower("alias") == F.col("w"), "left_semi")
-    return long.select("name").distinct().join(seen.select("name").distinct(), "name", "left_anti")
-
-
-def contained(names: DataFrame, docs: DataFrame, key: str, text: str, block: int = 3) -> DataFrame:
-    """(key, name) for names that occur anywhere in a text: blocked by their first ``block`` letters.
-
-    The distinct starts of the texts are joined with the names' starts; only those pairs are
-    searched for. Names shorter than the block are looked up under their own length.
-    """
-    sizes = sorted(r[0] for r in names.select(F.least(F.char_length("name"), F.lit(block))).distinct().collect())  # at most ``block`` values
-    keyed = names.select("name", F.substring("name", 1, block).alias("start"))
-    parts = []
-    for n in sizes:
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
-        own = docs.where(F.char_length(text) >= n).select(key, F.explode(starts).alias("start"))
-        parts.append(own.join(keyed.where(F.char_length("start") == n), "start").select(key, "name"))
-    out = parts[0] if parts else docs.select(key, F.lit("").alias("name")).limit(0)
-    for p in parts[1:]:
-        out = out.union(p)
-    #  Keys, not texts, went through the join above; the texts come to the pairs that are left.
-    found = out.join(docs.select(F.col(key), F.col(text).alias("__text")), key)
-    return found.where(F.contains("__text", F.col("name"))).select(key, "name")
-
-
 def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
     """The ``k`` rows of greatest cosine with ``query``: exact, a top-k without a full sort."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
-from ..operators import facts, retrieval, tree
+from ..operators import facts, retrieval, tree, search
 from ..registry import Tables, query
 
 #: Names that the rules are tried on.
@@ -145,10 +145,10 @@ def resolved_ancestors(t: Tables) -> DataFrame:
     "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{2,}')) AS name FROM benchmark), r AS (SELECT name FROM w WHERE length(name) <= 5) SELECT w.name, r.name AS anchor FROM w JOIN r ON contains(w.name, r.name) AND w.name <> r.name QUALIFY row_number() OVER (PARTITION BY w.name ORDER BY length(r.name) DESC, r.name) = 1",
 )
 def containment_anchors(t: Tables) -> DataFrame:
-    """The longest known name that each name contains; names are joined by the known names' first letters."""
+    """The longest known name that each name contains."""
     words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{2,})"), F.lit(1))).alias("name")).distinct()
     known = words.where(F.char_length("name") <= 5)
-    found = retrieval.contained(known, words.select(F.col("name").alias("k"), F.col("name").alias("text")), "k", "text").where("k <> name")
+    found = search.contained(known, words.select(F.col("name").alias("k"), F.col("name").alias("text")), "k", "text").where("k <> name")
     return found.groupBy(F.col("k").alias("name")).agg(F.min_by("name", F.struct(-F.char_length("name"), F.col("name"))).alias("anchor"))
 
 
@@ -345,7 +345,7 @@ def event_participants(t: Tables) -> DataFrame:
     """Names in a summary whose first occurrence is not followed by a letter that makes it another word."""
     names_ = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), F.lit(1))).alias("name")).distinct()
     keyed = t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text")
-    found = retrieval.contained(names_, keyed, "k", "text").join(keyed, "k")
+    found = search.contained(names_, keyed, "k", "text").join(keyed, "k")
     after = F.substring(F.col("text"), F.instr(F.col("text"), F.col("name")) + F.char_length("name"), F.lit(1))
     return found.where(~after.isin("e", "n", "s")).select("k.conv_id", "k.turn", "name")
 
@@ -354,7 +354,7 @@ def event_participants(t: Tables) -> DataFrame:
 def event_locations(t: Tables) -> DataFrame:
     """The longest place that a summary names."""
     names_ = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1))).alias("name")).distinct()
-    found = retrieval.contained(names_, t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text"), "k", "text")
+    found = search.contained(names_, t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text"), "k", "text")
     return found.groupBy("k").agg(F.min_by("name", F.struct(-F.char_length("name"), F.col("name"))).alias("name")).select("k.conv_id", "k.turn", "name")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import retrieval
+from ..operators import retrieval, search
 from ..registry import Tables, query
 
 
@@ -117,21 +117,67 @@ def count_occurrences(t: Tables) -> DataFrame:
 
 @query(
     "ungrounded_names",
-    r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
-n AS (SELECT DISTINCT name, lower(alias) AS alias FROM (SELECT p_name AS name, p_name AS alias FROM part UNION ALL SELECT p_name, unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT text, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) FROM benchmark) WHERE length(alias) >= 2)
-SELECT name FROM n GROUP BY name HAVING count(*) FILTER (WHERE alias IN (SELECT word FROM w)) = 0""",
+    r"""WITH c AS (SELECT string_agg(text, chr(0)) AS corpus FROM documents),
+n AS (SELECT DISTINCT name, alias FROM (SELECT p_name AS name, p_name AS alias FROM part UNION ALL SELECT p_name, unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT text, unnest(regexp_split_to_array(text, '[^\p{L}\p{N} ]+')) FROM benchmark) WHERE length(alias) >= 2),
+f AS (SELECT alias, contains(corpus, alias) AS found FROM (SELECT DISTINCT alias FROM n), c)
+SELECT name FROM n JOIN f USING (alias) GROUP BY name HAVING NOT bool_or(found)""",
 )
 def ungrounded_names(t: Tables) -> DataFrame:
+    """Parts, with their names' words as aliases, and passages, with their phrases, that no document grounds."""
     part = t.part.select(F.col("p_name").alias("name"), F.explode(F.array_union(F.array("p_name"), F.split("p_name", " "))).alias("alias"))
-    bench = t.benchmark.select(F.col("text").alias("name"), F.explode(F.split("text", r"[^\p{L}\p{N}]+")).alias("alias"))
-    return retrieval.ungrounded(part.union(bench), t.documents, "doc_id", "text")
+    bench = t.benchmark.select(F.col("text").alias("name"), F.explode(F.split("text", r"[^\p{L}\p{N} ]+")).alias("alias"))
+    return search.ungrounded(part.union(bench), t.documents, "text")
+
+
+_FORMS = r"SELECT DISTINCT source AS novel, lang || item_id AS name, unnest(regexp_split_to_array(b.text, '[^\p{L}\p{N} ]+')) AS alias FROM benchmark b, (SELECT DISTINCT source, lang FROM documents)"
+
+
+@query(
+    "ungrounded_by_novel",
+    rf"""WITH c AS (SELECT source AS novel, string_agg(text, chr(0)) AS corpus FROM documents GROUP BY source), n AS ({_FORMS}),
+f AS (SELECT novel, alias, contains(corpus, alias) AS found FROM (SELECT DISTINCT novel, alias FROM n WHERE length(alias) >= 2) JOIN c USING (novel))
+SELECT novel, name FROM n JOIN f USING (novel, alias) GROUP BY ALL HAVING NOT bool_or(found)""",
+)
+def ungrounded_by_novel(t: Tables) -> DataFrame:
+    """Passages as entities of each novel, their phrases as forms, looked for in the novel's own texts."""
+    novels = F.broadcast(t.documents.select(F.col("source").alias("novel"), "lang").distinct())  # sources, a few
+    forms = t.benchmark.select("item_id", F.explode(F.split("text", r"[^\p{L}\p{N} ]+")).alias("alias"))
+    entities = forms.join(novels).select("novel", F.concat("lang", F.col("item_id").cast("string")).alias("name"), "alias").distinct()
+    return search.ungrounded(entities, t.documents.withColumnRenamed("source", "novel"), "text", "novel")
+
+
+_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS name FROM benchmark)"
+
+
+def _words(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{3,})"), F.lit(1))).alias("name")).distinct()
+
+
+@query("longest_names", f"WITH {_WORDS}, p AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS pattern FROM w), h AS (SELECT doc_id, unnest(regexp_extract_all(text, pattern)) AS name FROM documents, p) SELECT doc_id, name, count(*) AS n FROM h GROUP BY ALL")
+def longest_names(t: Tables) -> DataFrame:
+    """How often each name stands in a document, none inside or across another."""
+    return search.longest(_words(t), t.documents, "doc_id", "text").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "question_entities",
+    f"""WITH {_WORDS}, a AS (SELECT name AS alias, left(name, 4) AS canonical FROM w WHERE length(name) > 4), h AS (SELECT DISTINCT conv_id, turn, coalesce(canonical, name) AS canonical, name FROM conversations c JOIN w ON contains(c.text, w.name) LEFT JOIN a ON alias = name),
+f AS (SELECT conv_id, turn, canonical, max(length(name)) AS n, arg_min(name, (1000 - length(name))::VARCHAR || name) AS first FROM h GROUP BY ALL)
+SELECT conv_id, turn, canonical AS name, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first, canonical) AS place FROM f""",
+)
+def question_entities(t: Tables) -> DataFrame:
+    """Entities of the messages by their canonical names, longest form first; long names stand for their beginnings."""
+    words = _words(t)
+    aliases = words.where(F.char_length("name") > 4).select(F.col("name").alias("alias"), F.substring("name", 1, 4).alias("canonical"))
+    keyed = t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text")
+    return search.asked_entities(keyed, "k", "text", words, aliases).select("k.conv_id", "k.turn", "name", "place")
 
 
 @query("names_in_questions", r"SELECT conv_id, turn, word AS name FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS word FROM benchmark) b JOIN conversations c ON contains(c.text, b.word)")
 def names_in_questions(t: Tables) -> DataFrame:
     names = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1))).alias("name")).distinct()
     keyed = t.conversations.select(F.struct("conv_id", "turn").alias("k"), "text")
-    return retrieval.contained(names, keyed, "k", "text").select("k.conv_id", "k.turn", "name")
+    return search.contained(names, keyed, "k", "text").select("k.conv_id", "k.turn", "name")
 
 
 @query("nearest_vectors", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 20")

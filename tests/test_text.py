@@ -7,7 +7,7 @@ from loomfact.functions import jsonrepair
 from loomfact.functions import names as nm
 from loomfact.functions import numbers as nu
 from loomfact.functions import text as tx
-from loomfact.operators import retrieval, sequence, split
+from loomfact.operators import search, sequence, split
 from loomfact.sources import facts, readers, writers
 from loomfact.streaming import incremental
 
@@ -148,11 +148,11 @@ def test_fixed_split_loses_nothing(spark):
 
 
 def test_grounding(spark):
-    names = spark.createDataFrame([("Ana", "Ana"), ("Ana", "queen"), ("Bo", "Bo"), ("C", "C")], "name string, alias string")
+    names = spark.createDataFrame([("Ana", "Ana"), ("Ana", "Queen"), ("Bo", "Bo"), ("C", "C")], "name string, alias string")
     docs = spark.createDataFrame([(1, "The Queen spoke.")], "k int, text string")
-    assert [r.name for r in retrieval.ungrounded(names, docs, "k", "text").collect()] == ["Bo"]
-    assert {(r.k, r.name) for r in retrieval.contained(names.select("name"), docs, "k", "text").collect()} == set()
-    assert {(r.k, r.name) for r in retrieval.contained(spark.createDataFrame([("Queen",), ("po",)], "name string"), docs, "k", "text").collect()} == {(1, "Queen"), (1, "po")}
+    assert [r.name for r in search.ungrounded(names, docs, "text").collect()] == ["Bo"]
+    assert {(r.k, r.name) for r in search.contained(names.select("name"), docs, "k", "text").collect()} == set()
+    assert {(r.k, r.name) for r in search.contained(spark.createDataFrame([("Queen",), ("po",)], "name string"), docs, "k", "text").collect()} == {(1, "Queen"), (1, "po")}
 
 
 def test_break_points_depend_on_the_last_one(spark):
