@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +33,42 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return seen.join(F.broadcast(chance)).select("n", "same", "chance", F.floor(k * 10000).cast("long").alias("kappa"))
 
 
-def bootstrap(flags: DataFrame, stratum: str, flag: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean flag by a Poisson bootstrap over counts.
+def strata(flags: DataFrame, stratum: str, flag: str) -> DataFrame:
+    """Rows, flagged rows and the unflagged share (in parts of 10000) of each stratum; null flags do not count."""
+    n = flags.where(F.col(flag).isNotNull()).groupBy(stratum).agg(F.count("*").alias("nodes"), F.count_if(F.col(flag).cast("int") != 0).alias("errors"))
+    return n.select(stratum, "nodes", "errors", _ratio(F.col("nodes") - F.col("errors"), F.col("nodes")).alias("overall"))
+
 
-    Rows with equal (stratum, flag) are one cell with a count; a resample draws each
-    cell's number, so the work is rounds x cells and not rounds x rows.
+def resampled(flags: DataFrame, stratum: str, flag: str, rounds: int = 10_000, seed: int = 42, block: int = 250) -> DataFrame:
+    """round, total and nodes: the sum of a resample's flags, each stratum drawn with replacement to its own size.
+
+    Rows of one stratum and flag are a cell with a count. How often each cell is drawn is
+    multinomial, so a round draws one number for each cell (binomials chained) and not one
+    for each row; draws depend on the seed, the stratum and the block of rounds alone, so
+    any partitioning and any retry give the same.
     """
-    cells = flags.groupBy(stratum, F.col(flag).cast("int").alias("flag")).agg(F.count("*").alias("n"))
-    spark = flags.sparkSession
-    draws = cells.join(F.broadcast(spark.range(rounds).withColumnRenamed("id", "round")))  # ``rounds`` rows
-    normal = F.sqrt(F.col("n").cast("double")) * F.randn(seed)
-    drawn = draws.withColumn("m", F.greatest(F.lit(0.0), F.round(F.col("n") + normal)))
-    mean = drawn.groupBy("round").agg((F.sum(F.col("m") * F.col("flag")) / F.sum("m")).alias("mean"))
-    return mean.agg(F.expr("percentile(mean, 0.025)").alias("low"), F.expr("percentile(mean, 0.5)").alias("middle"), F.expr("percentile(mean, 0.975)").alias("high"))
+    cells = flags.where(F.col(flag).isNotNull()).groupBy(F.col(stratum).cast("string").alias("s"), F.col(flag).cast("long").alias("flag")).agg(F.count("*").alias("n"))
+    whole = cells.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("flag", "n"))).alias("c"))
+    starts = F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(block))
+    rows = whole.select(F.xxhash64(F.coalesce("s", F.lit(""))).alias("key"), F.transform("c", lambda x: x["flag"]).alias("flags"), F.transform("c", lambda x: x["n"]).alias("counts"), F.explode(starts).alias("start"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, values, counts, start in zip(f["key"].tolist(), f["flags"], f["counts"], f["start"].tolist(), strict=True):
+                rng, n = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF, start]), int(np.sum(counts))
+                drawn = rng.multinomial(n, np.asarray(counts, float) / n, min(block, rounds - start))
+                yield pd.DataFrame({"round": np.arange(start, start + len(drawn)), "total": drawn @ np.asarray(values, np.int64), "nodes": n})
+
+    return rows.mapInPandas(run, "round long, total long, nodes long").groupBy("round").agg(F.sum("total").alias("total"), F.sum("nodes").alias("nodes"))
+
+
+def bootstrap(flags: DataFrame, stratum: str, flag: str, rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: nodes, the share without a flag (point), and mean, std, low and high (95 %) of that share over the resamples."""
+    drawn = resampled(flags, stratum, flag, rounds, seed).select((1 - F.col("total") / F.col("nodes")).alias("m"))
+    held = drawn.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))  # ``rounds`` numbers
+    point = flags.where(F.col(flag).isNotNull()).agg(F.count("*").alias("nodes"), (1 - F.sum(F.col(flag).cast("long")) / F.count("*")).alias("point"))
+    at = lambda q: F.get("ms", F.lit(int(q * rounds)))
+    return point.join(F.broadcast(held)).select("nodes", "point", "mean", "std", at(0.025).alias("low"), at(0.975).alias("high"))  # two single rows
 
 
 def label_ratio(labels: DataFrame, by: str, good: Column) -> DataFrame:

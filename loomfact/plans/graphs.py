@@ -205,4 +205,15 @@ def label_shares(t: Tables) -> DataFrame:
 
 @query("bootstrap_quality")
 def bootstrap_quality(t: Tables) -> DataFrame:
-    return evaluate.bootstrap(t.labels, "toxic", "quality")
+    return evaluate.bootstrap(t.labels, "quality", "toxic")
+
+
+@query("quality_by_stratum", "SELECT quality, count(toxic) AS nodes, count(*) FILTER (WHERE toxic <> 0) AS errors, ((count(toxic) - count(*) FILTER (WHERE toxic <> 0)) * 10000 // count(toxic))::BIGINT AS overall FROM labels WHERE toxic IS NOT NULL GROUP BY quality")
+def quality_by_stratum(t: Tables) -> DataFrame:
+    return evaluate.strata(t.labels, "quality", "toxic")
+
+
+@query("resample_sizes", "SELECT r.round, (SELECT count(toxic) FROM labels) AS nodes FROM (SELECT unnest(range(10000)) AS round) r")
+def resample_sizes(t: Tables) -> DataFrame:
+    """Every resample has as many nodes as there are flags."""
+    return evaluate.resampled(t.labels, "quality", "toxic").select("round", "nodes")
