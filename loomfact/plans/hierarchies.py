@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aliases, hierarchy, split
+from ..operators import aliases, branching, hierarchy, split
 from ..operators.graph import scratch
 from ..registry import Tables, query
 from ..streaming import incremental
@@ -75,6 +75,13 @@ def name_containment(t: Tables) -> DataFrame:
     return hierarchy.name_containment(words.select(F.lit(0).alias("novel"), F.lower("name").alias("name"))).select("child", "parent")
 
 
+@query("arborescences_by_rounds")
+def arborescences_by_rounds(t: Tables) -> DataFrame:
+    """The same without a group a novel: cycles of all novels are contracted together, round by round."""
+    roots = t.part.select(F.col("p_brand").alias("novel"), F.lit("p0").alias("root")).distinct()
+    return branching.arborescences(votes(t), roots)
+
+
 @query("arborescences")
 def arborescences(t: Tables) -> DataFrame:
     roots = t.part.select(F.col("p_brand").alias("novel"), F.lit("p0").alias("root")).distinct()
