@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import retrieval, search
+from ..operators import induce, retrieval, search
 from ..registry import Tables, query
 
 
@@ -244,3 +244,20 @@ def split_diagnosis(t: Tables) -> DataFrame:
     n, m, s = F.col("n"), F.col("m"), F.col("s")
     kind = F.when((n == 1) & (m > 30000), "SINGLE_HUGE_CHAPTER").when((n < 5) & (s > 100000), "HEADING_TOO_SPARSE").when((n > 10) & (F.floor(s / n) < 500), "HEADING_TOO_DENSE").otherwise("OK")
     return g.select("source", kind.alias("diagnosis"), "n", s.alias("total"))
+
+
+_NUM = r"[零〇一二两三四五六七八九十百千万\d]+"
+_HEADED = "h AS (SELECT c_nationkey AS book, c_custkey AS k, c_mktsegment || ' ' || c_custkey || ': ' || c_name AS line FROM customer), m AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY book ORDER BY k) <= 3)"
+
+
+@query(
+    "induced_patterns",
+    rf"""WITH {_HEADED}, p AS (SELECT book, '^' || CASE WHEN count(DISTINCT split_part(line, ' ', 1)) = 1 THEN min(split_part(line, ' ', 1)) ELSE '[a-zA-Z]+' END || '\s+{_NUM}:\s+Customer\#{_NUM}' AS pattern FROM m GROUP BY book HAVING count(*) >= 2)
+SELECT book, pattern, count(*) AS hits FROM p JOIN h USING (book) WHERE regexp_matches(line, pattern) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def induced_patterns(t: Tables) -> DataFrame:
+    """Forms of the headings of a nation's customers, from the first three of each."""
+    line = F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey").cast("string"), F.lit(": "), F.col("c_name"))
+    lines = t.customer.select(F.col("c_nationkey").alias("book"), F.col("c_custkey").alias("k"), line.alias("line"))
+    first = F.row_number().over(W.partitionBy("book").orderBy("k"))
+    return induce.induced(lines.withColumn("n", first).where("n <= 3"), lines, "book")
