@@ -107,7 +107,18 @@ def is_nickname(name: Column) -> Column:
 # ---- fixed values: architectural characters, realm characters, surnames, titles, verbs of events, directions and their opposites, words of questions
 ARCHITECTURE = "门道廊厅堂殿阁楼房室间院墙窗阶梯井亭台榭轩斋"
 REALM = "幻梦仙灵冥虚魔"
-SURNAMES = "贾史王薛林李张刘陈杨赵孙周吴郑冯褚卫蒋沈韩朱秦尤许何吕曹魏蔡宋郭潘范彭鲁马苗花方任袁柳酆鲍雷贺倪汤殷苏黄"
+SURNAMES = (
+    "贾", "史", "王", "薛", "林", "李", "张", "刘",
+    "陈", "杨", "赵", "孙", "周", "吴", "郑", "冯",
+    "褚", "卫", "蒋", "沈", "韩", "朱", "秦", "尤",
+    "许", "何", "吕", "曹", "魏", "蔡", "宋", "郭",
+    "潘", "范", "彭", "鲁", "马", "苗", "花", "方",
+    "任", "袁", "柳", "酆", "鲍", "雷", "贺", "倪",
+    "汤", "殷", "苏", "黄",
+    "诸葛", "司马", "上官", "欧阳", "公孙", "太史",
+)
+#: A name is told by its first letter, so only surnames of one letter decide.
+SURNAME_LETTERS = "".join(s for s in SURNAMES if len(s) == 1)
 RESIDENT_TITLES = ("夫人", "老爷", "太太", "姑娘", "小姐", "奶奶", "嫂子", "姨妈", "姐姐", "妹妹", "哥哥", "弟弟")
 #: Ranks, offices and houses before 府 that make it a residence.
 RANKS = (
@@ -134,7 +145,7 @@ def is_homonym_prone(name: Column) -> Column:
     return name.isin(*HOMONYMS) | name.rlike(f"^[{ARCHITECTURE}]{{0,2}}$")
 
 
-def is_surname_shi(name: Column, surnames: str = SURNAMES) -> Column:
+def is_surname_shi(name: Column, surnames: str = SURNAME_LETTERS) -> Column:
     return name.rlike(f"^[{surnames}]氏$")
 
 
@@ -142,13 +153,13 @@ def is_realm(name: Column) -> Column:
     return name.rlike(f"[{REALM}]")
 
 
-def is_residence(name: Column, parent_tier: Column, ranks: tuple[str, ...] = RANKS, surnames: str = SURNAMES) -> Column:
+def is_residence(name: Column, parent_tier: Column, ranks: tuple[str, ...] = RANKS, surnames: str = SURNAME_LETTERS) -> Column:
     """Whether a name ending in 府 is a house: of a rank, of a surname, or inside a city, kingdom or continent."""
     owner = name.rlike(f"({'|'.join(ranks)})府$") | name.rlike(f"^[{surnames}].?府$")
     return name.rlike("^.+府$") & (owner | F.coalesce(parent_tier.isin("city", "kingdom", "continent"), F.lit(False)))
 
 
-def is_place_of_person(name: Column, titles: tuple[str, ...] = RESIDENT_TITLES, surnames: str = SURNAMES) -> Column:
+def is_place_of_person(name: Column, titles: tuple[str, ...] = RESIDENT_TITLES, surnames: str = SURNAME_LETTERS) -> Column:
     """Whether a name ending in 处 is where a person lives: by surname or title, or short and without the verb of an event."""
     before = F.substring(name, 1, F.char_length(name) - 1)
     person = (F.char_length(before) <= 5) & (before.rlike(f"^[{surnames}]") | before.rlike(f"({'|'.join(titles)})$"))

@@ -37,7 +37,7 @@ def mentions(t: Tables) -> DataFrame:
 @query(
     "name_rules",
     f"""WITH {_NAMED} SELECT id, name IN ('夹道', '角门', '后门', '正房', '书房', '花园', '皇宫', '山洞') OR (length(name) <= 2 AND length(translate(name, '{nm.ARCHITECTURE}', '')) = 0) AS homonym,
-length(name) = 2 AND right(name, 1) = '氏' AND contains('{nm.SURNAMES}', left(name, 1)) AS shi, length(translate(name, '{nm.REALM}', '')) < length(name) AS realm,
+length(name) = 2 AND right(name, 1) = '氏' AND contains('{nm.SURNAME_LETTERS}', left(name, 1)) AS shi, length(translate(name, '{nm.REALM}', '')) < length(name) AS realm,
 regexp_matches(replace(replace(replace(name, ' ', ''), 'ｗｗｗ．', 'www.'), '．ｃｎ', '.cn'), '(?i)https?://|www\\.|\\.com|\\.cn|\\.net|\\.org|\\.txt') AS url FROM names""",
 )
 def name_rules(t: Tables) -> DataFrame:
@@ -53,8 +53,8 @@ _TITLES = ", ".join(f"'{x}'" for x in nm.RESIDENT_TITLES)
     "residences",
     f"""WITH {_NAMED}, b AS (SELECT *, left(name, length(name) - 1) AS prefix FROM names),
 h AS (SELECT *, len(list_filter([{_TITLES}], lambda x: ends_with(prefix, x))) > 0 AS titled, len(list_filter([{_RANKS}], lambda x: ends_with(prefix, x))) > 0 AS ranked FROM b)
-SELECT id, ends_with(name, '府') AND length(name) >= 2 AND (ranked OR (length(prefix) <= 2 AND contains('{nm.SURNAMES}', left(prefix, 1))) OR coalesce(tier = 'city', false)) AS residence,
-ends_with(name, '处') AND length(name) >= 2 AND prefix NOT IN ({", ".join(f"'{x}'" for x in nm.NO_RESIDENTS)}) AND ((length(prefix) <= 5 AND (contains('{nm.SURNAMES}', left(prefix, 1)) OR titled)) OR (length(prefix) <= 4 AND length(translate(prefix, '{nm.EVENT_VERBS}', '')) = length(prefix))) AS of_person FROM h""",
+SELECT id, ends_with(name, '府') AND length(name) >= 2 AND (ranked OR (length(prefix) <= 2 AND contains('{nm.SURNAME_LETTERS}', left(prefix, 1))) OR coalesce(tier = 'city', false)) AS residence,
+ends_with(name, '处') AND length(name) >= 2 AND prefix NOT IN ({", ".join(f"'{x}'" for x in nm.NO_RESIDENTS)}) AND ((length(prefix) <= 5 AND (contains('{nm.SURNAME_LETTERS}', left(prefix, 1)) OR titled)) OR (length(prefix) <= 4 AND length(translate(prefix, '{nm.EVENT_VERBS}', '')) = length(prefix))) AS of_person FROM h""",
 )
 def residences(t: Tables) -> DataFrame:
     n = F.col("name")
