@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, tree
+from ..operators import communities, evaluate, graph, tree
 from ..registry import Tables, query
 
 
@@ -75,6 +75,12 @@ def person_components(t: Tables) -> DataFrame:
     return graph.components(_sparse(t))
 
 
+@query("person_communities")
+def person_communities(t: Tables) -> DataFrame:
+    """Communities of the persons by modularity; a relation counts once."""
+    return communities.communities(_sparse(t).withColumn("weight", F.lit(1.0)))
+
+
 @query("shortest_paths", f"WITH RECURSIVE {_SPARSE}, w(node, steps) USING KEY (node) AS (SELECT min(a), 0::BIGINT FROM e UNION SELECT e.b, min(steps) + 1 FROM w JOIN e ON e.a = w.node WHERE e.b NOT IN (SELECT node FROM recurring.w) GROUP BY e.b) SELECT node, steps FROM w")
 def shortest_paths(t: Tables) -> DataFrame:
     edges = _sparse(t)
