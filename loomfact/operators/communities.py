@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .graph import cut
 
 #: Gain of modularity below which a round does not count, and such rounds in a row that end a level.
-LEAST_GAIN, IDLE_ROUNDS = 1e-7, 3
-MAX_ROUNDS, MAX_LEVELS = 40, 20
+LEAST_GAIN, IDLE_ROUNDS = 1e-4, 2
+MAX_ROUNDS, MAX_LEVELS = 16, 20
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
