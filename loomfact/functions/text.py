@@ -124,10 +124,3 @@ def thinking_removed(text: Column) -> Column:
 def cited_chapters(text: Column, pattern: str = r"第\s*(\d+)\s*章") -> Column:
     """Distinct chapter numbers that a text names, in order."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))))
-
-
-def most_matched(text: Column, patterns: tuple[tuple[str, str], ...], none: str) -> Column:
-    """The name of the pattern that matches most often, the first on a tie; ``none`` if no pattern does."""
-    counts = F.array(*(F.struct(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(patterns)))
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["name"]).otherwise(none)

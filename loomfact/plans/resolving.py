@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import intervals, resolve, split
 from ..registry import Tables, query
 from .graphs import _PLACES, gold, places
