@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import cut
-from .tree import lifted
+from .tree import lifted, roots
 
 #: Buckets of the children of one place.
 BUCKETS = 256
@@ -81,7 +81,7 @@ def numbered(edges: DataFrame) -> DataFrame:
     left = state.groupBy("node").agg(F.max(F.when(~F.col("out"), F.col("steps"))).alias("e"), F.max(F.when(F.col("out"), F.col("steps"))).alias("l"))
     all_ = nodes.select("node", "up", "root", "depth").join(left, "node")
     total = all_.where("depth = 0").select(F.col("node").alias("root"), F.col("e").alias("total"))
-    return all_.join(total, "root").select("node", "up", "root", "depth", (F.col("total") - F.col("e")).alias("enter"), (F.col("total") - F.col("l")).alias("leave"))
+    return cut(all_.join(total, "root").select("node", "up", "root", "depth", (F.col("total") - F.col("e")).alias("enter"), (F.col("total") - F.col("l")).alias("leave")))
 
 
 def _ends(pairs: DataFrame, tour: DataFrame) -> DataFrame:
@@ -107,10 +107,13 @@ def common_ancestors(pairs: DataFrame, tour: DataFrame) -> DataFrame:
     table, level, found = cut(entered.unionByName(left)), 0, None
     highest = asked.agg(F.max("level")).first()[0]
     while highest is not None and level <= highest:
-        side = lambda s: table.select("root", F.col("at").alias(f"__{s}"), F.col("top").alias(s))  # noqa: B023, E731
-        here = asked.where(F.col("level") == level).withColumn("__x", F.col("from")).withColumn("__y", F.col("to") - (1 << level) + 1)
-        hit = here.join(side("x"), ["root", "__x"]).join(side("y"), ["root", "__y"]).select("a", "b", F.least("x", "y").alias("top"))
+        #  Both ends of a stretch are looked up in one join.
+        ends = F.explode(F.array(F.col("from"), F.col("to") - (1 << level) + 1)).alias("at")
+        here = asked.where(F.col("level") == level).select("a", "b", "root", ends)
+        hit = cut(here.join(table, ["root", "at"]).groupBy("a", "b").agg(F.min("top").alias("top")))
         found = hit if found is None else found.unionByName(hit)
+        if level == highest:
+            break
         further = table.select("root", (F.col("at") - (1 << level)).alias("at"), F.col("top").alias("__t"))
         table, level = cut(table.join(further, ["root", "at"]).select("root", "at", F.least("top", "__t").alias("top"))), level + 1
     if found is None:
@@ -118,15 +121,28 @@ def common_ancestors(pairs: DataFrame, tour: DataFrame) -> DataFrame:
     return found.select("a", "b", F.col("top.node").alias("ancestor"), F.col("top.depth").alias("depth"))
 
 
+def _between(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """The tree of the ``named`` nodes alone: each below its nearest ancestor that is named or a root.
+
+    Who is above whom stays, also after moves among them, as the nodes left out never move.
+    A node below a cycle without named nodes is below itself, so it has no root here either.
+    """
+    near = nearest_marked(edges, named.unionByName(roots(edges))).select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
+    own = edges.select("child").join(named, F.col("child") == F.col("node"), "left_semi")
+    return cut(own.join(near, "child", "left").select("child", F.coalesce("parent", "child").alias("parent")))
+
+
 def settled(edges: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The moves (seq, child, parent) with ``done``, and the tree after them, each move made in order unless it closes a cycle.
 
     A round decides the moves before the first one that depends on another: one whose new
     parent has an ancestor (or is a node) that an earlier move of the round takes elsewhere.
     Those before it see the tree as the round found it, so one tour decides them all.
-    There are as many rounds as such dependencies follow upon each other.
+    There are as many rounds as such dependencies follow upon each other. They work on the
+    places that moves name alone, see :func:`_between`.
     """
-    tree, left, out = cut(edges.select("child", "parent")), cut(moves.select("seq", "child", "parent")), None
+    left, out = cut(moves.select("seq", "child", "parent")), None
+    tree = _between(edges, left.select(F.col("child").alias("node")).union(left.select("parent")).distinct())
     while left.limit(1).count():
         first_move = left.groupBy(F.col("child").alias("node")).agg(F.min("seq").alias("value"))
         touched = folded(tree, first_move, F.least)
@@ -143,4 +159,7 @@ def settled(edges: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = tree.join(last, "child", "full_outer")
         tree = cut(both.select("child", F.coalesce("__new", "parent").alias("parent")))
         left = cut(left.limit(0) if until is None else left.where(F.col("seq") >= until))
-    return (out if out is not None else moves.select("seq", "child", "parent", F.lit(True).alias("done"))), tree
+    if out is None:
+        return moves.select("seq", "child", "parent", F.lit(True).alias("done")), edges.select("child", "parent")
+    last = out.where("done").groupBy("child").agg(F.max_by("parent", "seq").alias("__new"))
+    return out, edges.join(last, "child", "full_outer").select("child", F.coalesce("__new", "parent").alias("parent"))
