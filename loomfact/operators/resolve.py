@@ -44,8 +44,8 @@ def tiers(edges: DataFrame, rank: DataFrame) -> DataFrame:
 def acyclic(edges: DataFrame, weights: DataFrame, uber_root: str | None = None) -> DataFrame:
     """Edges with the weakest of each cycle cut, again and again until none is left; what is cut hangs below ``uber_root``."""
     out = cut(edges.select("child", "parent"))
-    while on_cycles(out).limit(1).count():
-        out = cut(broken_cycles(out, weights).select("child", "parent"))
+    while (loop := cut(on_cycles(out))).limit(1).count():
+        out = cut(broken_cycles(out, weights, loop).select("child", "parent"))
     if uber_root is None:
         return out
     lost = edges.select("child").distinct().join(out.select("child"), "child", "left_anti").where(F.col("child") != uber_root)

@@ -26,9 +26,9 @@ def lifted(edges: DataFrame) -> DataFrame:
     state, before = cut(one.union(top).withColumn("root", F.when(F.col("up").isNull(), F.col("node")))), -1
     while True:
         above = state.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("root").alias("a_root"))
-        j = state.join(above, F.col("up") == F.col("a"), "left")
-        nxt = j.select("node", F.when(F.col("a_root").isNull(), F.col("a_up")).alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"), F.coalesce("root", "a_root").alias("root"))
-        state = cut(nxt)
+        j = state.where("root is null").join(above, F.col("up") == F.col("a"))  # rows that are done leave the join
+        moved = j.select("node", F.when(F.col("a_root").isNull(), F.col("a_up")).alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_root").alias("root"))
+        state = cut(state.where("root is not null").unionByName(moved.select(state.columns)))
         left = state.where("root is null").count()
         if left in (0, before):  # a round that reaches no further node leaves only those on and below cycles
             break
@@ -75,21 +75,28 @@ def uber_root(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges of the nodes on cycles: what all rows without a root reach by as many steps as there are such rows."""
+    """Edges of the nodes on cycles: what all rows without a root reach by any number of steps.
+
+    What is reached by more steps is part of what is reached by fewer, so as soon as twice
+    the steps reach as many nodes, these are all on cycles.
+    """
     stuck = lifted(edges).where("root is null").select("node")
     own = cut(edges.join(stuck, F.col("child") == F.col("node"), "left_semi").select("child", "parent"))
-    state, steps, size = own, 1, own.count()
-    while steps < size:
+    inner = cut(own.join(own.select(F.col("child").alias("__c")).distinct(), F.col("parent") == F.col("__c"), "left_semi"))
+    ends = inner.agg(F.count_distinct("child"), F.count_distinct("parent")).first()
+    state, before, now = inner, ends[0], ends[1]
+    while now < before:
         above = state.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-        state, steps = cut(state.join(above, F.col("parent") == F.col("__c")).select("child", F.col("__p").alias("parent"))), steps * 2
+        state = cut(state.join(above, F.col("parent") == F.col("__c")).select("child", F.col("__p").alias("parent")).distinct())
+        before, now = now, state.agg(F.count_distinct("parent")).first()[0]
     return own.join(state.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
 
 
-def broken_cycles(edges: DataFrame, weights: DataFrame) -> DataFrame:
-    """``edges`` without the weakest edge (by weight, then child) of each cycle."""
+def broken_cycles(edges: DataFrame, weights: DataFrame, loop: DataFrame | None = None) -> DataFrame:
+    """``edges`` without the weakest edge (by weight, then child) of each cycle; ``loop`` are those of :func:`on_cycles`, if known."""
     from .graph import components
 
-    loop = on_cycles(edges)
+    loop = on_cycles(edges) if loop is None else loop
     if not loop.limit(1).count():
         return edges
     label = components(loop.select(F.col("child").alias("a"), F.col("parent").alias("b")))
