@@ -23,15 +23,21 @@ _LINES = "l AS (SELECT l_orderkey AS chapter, l_suppkey AS s, l_partkey AS p, l_
 
 def fact_json(t: Tables) -> DataFrame:
     """novel, chapter and fact (JSON) of each order; elements in the order of its lines."""
-    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     order = ("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
-    relation = F.struct(s.alias("person_a"), p.alias("person_b"), F.col("l_returnflag").alias("relation_type"), F.when(F.col("l_returnflag") == "A", False).alias("is_new"))
-    skill = F.when(F.col("l_linenumber") % 2 == 0, F.to_json(F.struct(F.lit("武功").alias("dimension"), p.alias("name")))).otherwise(p)
-    person = F.struct(s.alias("name"), F.array(skill).alias("abilities_gained"))
-    event = F.struct(F.concat_ws(" ", s, F.col("l_returnflag")).alias("summary"), F.when(F.col("l_returnflag") == "R", "high").alias("importance"))
-    one = F.struct(*order, relation.alias("r"), person.alias("c"), F.struct(p.alias("name")).alias("l"), event.alias("e"))
-    g = t.lineitem.groupBy(F.col("l_orderkey").alias("chapter")).agg(F.array_sort(F.collect_list(F.struct(*order, one.alias("x")))).alias("xs"))
-    part = lambda k: F.transform("xs", lambda x: x["x"][k])
+
+    def one(x: Column, k: str) -> Column:
+        s, p, flag = F.concat(F.lit("s"), x["l_suppkey"].cast("string")), F.concat(F.lit("p"), x["l_partkey"].cast("string")), x["l_returnflag"]
+        skill = F.when(x["l_linenumber"] % 2 == 0, F.to_json(F.struct(F.lit("武功").alias("dimension"), p.alias("name")))).otherwise(p)
+        return {
+            "r": F.struct(s.alias("person_a"), p.alias("person_b"), flag.alias("relation_type"), F.when(flag == "A", False).alias("is_new")),
+            "c": F.struct(s.alias("name"), F.array(skill).alias("abilities_gained")),
+            "l": F.struct(p.alias("name")),
+            "e": F.struct(F.concat_ws(" ", s, flag).alias("summary"), F.when(flag == "R", "high").alias("importance")),
+        }[k]
+
+    #  Plain columns are shuffled, elements made of them afterwards.
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("chapter")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("xs"))
+    part = lambda k: F.transform("xs", lambda x: one(x, k))
     doc = F.struct(part("r").alias("relationships"), part("c").alias("characters"), part("l").alias("locations"), part("e").alias("events"))
     return g.select(F.lit(1).alias("novel"), "chapter", F.to_json(doc).alias("fact"))
 

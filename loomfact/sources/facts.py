@@ -62,11 +62,12 @@ def abilities(facts: DataFrame, json: str) -> DataFrame:
 def mentions(facts: DataFrame, json: str) -> DataFrame:
     """(novel, chapter, pos, kind, name) of all entities of all arrays."""
     parts = [("characters", "person", "name"), ("locations", "place", "name"), ("item_events", "item", "item_name"), ("org_events", "org", "org_name"), ("new_concepts", "concept", "name")]
-    out = None
-    for array, kind, field in parts:
-        one = elements(facts, json, array).select("novel", "chapter", "pos", F.lit(kind).alias("kind"), F.col(field).alias("name")).where("name <> ''")
-        out = one if out is None else out.unionByName(one)
-    return out
+    #  One pass: all arrays' elements in one list, each with its array.
+    raw = lambda array: F.coalesce(F.from_json(F.get_json_object(json, f"$.{array}"), "array<string>"), F.array().cast("array<string>"))
+    listed = lambda array, kind: F.transform(raw(array), lambda x, i: F.struct(i.alias("pos"), F.lit(kind).alias("kind"), x.alias("raw")))
+    rows = facts.select("novel", "chapter", F.inline(F.concat(*(listed(array, kind) for array, kind, _ in parts))))
+    name = F.coalesce(*(F.when(F.col("kind") == kind, F.from_json("raw", ARRAYS[array])[field]) for array, kind, field in parts))
+    return rows.select("novel", "chapter", "pos", "kind", name.alias("name")).where("name <> ''")
 
 
 def summary(fact: Column) -> Column:
