@@ -47,3 +47,29 @@ def test_cycles_end_early_and_right_with_several_parents(spark, monkeypatch):
     got = {r.child for r in tree.on_cycles(spark.createDataFrame(rings + odd, "child long, parent long")).collect()}
     assert got == {c for c, _ in rings}
     assert len(rounds) <= 8
+
+
+def test_definition_by_place_through_all_chapters(spark):
+    from loomfact.operators import facts
+
+    rows = spark.createDataFrame([("k", 1, 1, 20, "late"), ("k", 1, 2, 10, "early")], "kind string, name long, chapter long, pos long, definition string")
+    assert facts.encyclopedia(rows, ("pos", "chapter")).first() == ("k", 1, 1, 2, "early")
+    assert facts.encyclopedia(rows).first().definition == "late"
+
+
+def test_mentions_read_the_facts_once(spark):
+    from loomfact.sources import facts
+
+    docs = [(1, 1, '{"characters":[{"name":"a"},{"name":""},7],"item_events":[{"item_name":"i"},{"item_name":"j"}]}'), (1, 2, '{"locations":[{"name":"p"}]}'), (1, 3, "{}"), (1, 4, None)]
+    got = facts.mentions(spark.createDataFrame(docs, "novel int, chapter int, fact string"), "fact")
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 0, "person", "a"), (1, 1, 0, "item", "i"), (1, 1, 1, "item", "j"), (1, 2, 0, "place", "p")}
+    assert _plan(got).count("Generate ") <= 2 and "Union" not in _plan(got)
+
+
+def test_places_of_chapters_are_made_once(spark):
+    """No test of the array's size is pushed through the passes, and only plain columns are shuffled."""
+    import __spark_entry__ as entry
+
+    out = entry.queries()["validated_places"](spark, entry.SMOKE_DIR)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
