@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import pair_edges
+
 
 def resolved(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """``column`` with aliases (alias, canonical) replaced by their canonical names."""
@@ -55,12 +57,12 @@ def visitors(df: DataFrame, place: str, person: str, chapter: str, resident: int
 def co_items(df: DataFrame, item: str, chapter: str) -> DataFrame:
     """For each item the number of different items of its chapters, without itself.
 
-    A chapter's items are bounded by its text; counts need no list of them.
+    A chapter's items are bounded by its text; each pair is made and told apart once, and
+    counts for both.
     """
-    rows = df.select(F.col(chapter).alias("c"), F.col(item).alias("i")).distinct()
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.i") != F.col("y.i"))).select(F.col("x.i").alias(item), F.col("y.i").alias("other")).distinct()
-    return pairs.groupBy(item).agg(F.count("*").alias("co_items"))
+    pairs = pair_edges(df, chapter, item)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(item))
+    return ends.groupBy(item).agg(F.count("*").alias("co_items"))
 
 
 def best_of(df: DataFrame, keys: list[str], confidence: Column, chapter: str, pos: str) -> DataFrame:

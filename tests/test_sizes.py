@@ -73,3 +73,26 @@ def test_places_of_chapters_are_made_once(spark):
     out = entry.queries()["validated_places"](spark, entry.SMOKE_DIR)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+
+
+def test_pairs_of_large_tables_are_dealt_into_more_parts(spark, monkeypatch):
+    from loomfact.operators import profile
+
+    rows = spark.range(60).selectExpr("id div 3 AS c", "id % 7 AS p")
+    want = {tuple(r) for r in graph.pair_edges(rows, "c", "p").collect()}
+    items = {tuple(r) for r in profile.co_items(rows, "p", "c").collect()}
+    monkeypatch.setattr(graph, "PART_ROWS", 5)
+    out = graph.pair_edges(rows, "c", "p")
+    assert "REPARTITION_BY_NUM" in _plan(out) and {tuple(r) for r in out.collect()} == want
+    assert {tuple(r) for r in profile.co_items(rows, "p", "c").collect()} == items
+
+
+def test_longest_names_of_a_long_text(spark):
+    """Places are read in order, not gathered in an array of the whole text."""
+    from loomfact.operators import search
+
+    names = spark.createDataFrame([("ab",), ("abc",), ("cd",)], "name string")
+    docs = spark.createDataFrame([(1, "abcd " * 20_000), (2, "abab"), (3, None)], "id long, text string")
+    out = search.longest(names, docs, "id", "text")
+    assert "collect_list" not in _plan(out)
+    assert {tuple(r) for r in out.groupBy("id", "name").count().collect()} == {(1, "abc", 20_000), (2, "ab", 2)}
