@@ -105,14 +105,25 @@ def longest(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     """key, name and at of occurrences that do not overlap: from the left, the longest name at each place.
 
     ``key`` is unique. Of a text's occurrences the longest at each place are combined
-    before the shuffle; a fold over what is left keeps those behind the last one's end.
+    before the shuffle; a text's places are then read in order, and those behind the last
+    one's end kept, so the work is in proportion to the occurrences.
     """
     found = occurrences(names, docs, key, text)
-    top = found.groupBy(key, "at").agg(F.max_by("name", F.char_length("name")).alias("name"))
-    rows = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("__r"))
-    free = lambda kept, x: (F.size(kept) == 0) | (x["at"] >= F.element_at(kept, -1)["at"] + F.char_length(F.element_at(kept, -1)["name"]))
-    kept = F.aggregate("__r", F.slice("__r", 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select(key, F.explode(kept).alias("x")).select(key, "x.name", "x.at")
+    top = found.groupBy(key, "at").agg(F.max_by("name", F.char_length("name")).alias("name")).select(key, "name", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = object(), 0
+        for b in batches:
+            kept = []
+            for i, (k, name, at) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if k != now:
+                    now, end = k, 0
+                if at >= end:
+                    end = at + len(name)
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return top.repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, top.schema)
 
 
 def ungrounded(entities: DataFrame, docs: DataFrame, text: str, novel: str | None = None, least: int = 2) -> DataFrame:
