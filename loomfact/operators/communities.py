@@ -45,8 +45,8 @@ def _level(edges: DataFrame, resolution: float) -> DataFrame:
     best, top, idle = state, modularity(edges, state, resolution), 0
     for turn in range(MAX_ROUNDS):
         near = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        own = state.select("node", F.col("community").alias("own")).join(degree, "node")
-        total = own.groupBy(F.col("own").alias("community")).agg(F.sum("k").alias("t"))
+        own = state.select("node", F.col("community").alias("own")).join(degree, "node").hint("merge")
+        total = own.groupBy(F.col("own").alias("community")).agg(F.sum("k").alias("t")).hint("merge")
         stay = state.select("node", "community").withColumn("w", F.lit(0.0))
         options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(total, "community")
         here = F.col("community") == F.col("own")
