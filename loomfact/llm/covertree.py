@@ -10,11 +10,21 @@ centre distance and radii together stay below it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 LEAF = 128
 #: Slack of the bounds, far above rounding and far below any distance of interest.
 SLACK = 1e-9
+#: Points of nodes that become single points.
+FEW = 16
+#: Possible centres that are taken at once, rows and columns compared at once, and single distances.
+CENTRES, ROWS, COLUMNS, AT_ONCE = 256, 512, 2048, 65_536
+#: Radius below which splitting is left and points are compared.
+TINY = 1e-6
+#: Slack of cosines in single precision, far above their rounding; what they leave is looked at in double precision.
+ROUGH = 1e-4
 
 
 class Node:
@@ -26,31 +36,73 @@ class Node:
 
 
 class CoverTree:
-    """A tree over the rows ``points`` of ``x``; levels are made when they are asked for."""
+    """A tree over the rows ``points`` of ``x``; levels are made when they are asked for.
 
-    def __init__(self, x: np.ndarray, points: np.ndarray):
-        self.x = x
-        self.root = self._node(points, int(points[0]), 0)
+    Nodes of at most ``FEW`` points that are not within ``whole`` of each other as a whole
+    become single points at once: in many dimensions most nodes hold two or three points
+    that are far apart, and single points are compared in blocks.
+    """
 
-    def _node(self, points: np.ndarray, centre: int, level: int) -> Node:
-        return Node(points, centre, float(distances(self.x[points], self.x[centre]).max()), level)
+    def __init__(self, x: np.ndarray, points: np.ndarray, whole: float = 0.0, single: np.ndarray | None = None):
+        self.x, self.whole, self.single = x, whole, x.astype(np.float32) if single is None else single
+        self.root = Node(points, int(points[0]), float(distances(x[points], x[points[0]]).max()), 0)
 
     def split(self, node: Node) -> list[Node]:
-        """Children of a node: centres further apart than the next radius, with what they cover."""
+        """Children of a node, the largest radius first: centres further apart than the next radius, with what they cover.
+
+        Single precision tells which centre covers a point; the radii are measured in double precision.
+        """
         if node.children is None:
             level = node.level + 1
             while 2.0 * 0.5**level >= node.radius:  # a radius that the node itself fits into splits nothing
                 level += 1
-            radius, left, out = 2.0 * 0.5**level, node.points, []
-            while len(left):
-                centre = node.centre if not out and node.centre in left else int(left[0])
-                d = distances(self.x[left], self.x[centre])
-                own = d <= radius
-                out.append(Node(left[own], centre, float(d[own].max()), level))
-                left = left[~own]
-            node.children = out
+            centre = self._covering(node, 1.0 - (2.0 * 0.5**level) ** 2 / 2)
+            order = np.lexsort((node.points, centre))
+            points, centre = node.points[order], centre[order]
+            d = np.concatenate([_paired(self.x, points[at : at + AT_ONCE], centre[at : at + AT_ONCE]) for at in range(0, len(points), AT_ONCE)])
+            first = np.flatnonzero(np.diff(centre, prepend=-1))
+            n, radius = np.diff(first, append=len(points)), np.maximum.reduceat(d, first)
+            few = np.repeat((n <= FEW) & (2 * radius + SLACK >= self.whole), n)
+            starts = np.zeros(len(points), bool)
+            starts[first] = True
+            first = np.flatnonzero(starts | few)
+            n, radius = np.diff(first, append=len(points)), np.maximum.reduceat(d, first)
+            centre, radius = np.where(n == 1, points[first], centre[first]), np.where(n == 1, 0.0, radius)
+            parts = np.split(points, first[1:])
+            node.children = [Node(parts[i], int(centre[i]), float(radius[i]), level) for i in np.argsort(-radius, kind="stable").tolist()]
         return node.children
 
+    def _covering(self, node: Node, least: float) -> np.ndarray:
+        """For each point of a node the first centre whose cosine with it is ``least`` or more."""
+        x = self.single if least < 0.99 else self.x
+        places = np.arange(len(node.points))
+        own = np.flatnonzero(node.points == node.centre)
+        left, centre = np.concatenate([own, places[node.points != node.centre]]), np.empty(len(places), np.int64)
+        while len(left):
+            some = x[node.points[left[:CENTRES]]]
+            covers = some @ some.T >= least
+            free, chosen = np.ones(len(some), bool), []
+            for i in range(len(some)):
+                if free[i]:
+                    chosen.append(i)
+                    free &= ~covers[i]
+            centre[left[chosen]] = node.points[left[chosen]]
+            taken = np.zeros(len(left), bool)
+            taken[chosen] = True
+            for at in range(0, len(left), 4096):
+                near = x[node.points[left[at : at + 4096]]] @ some[chosen].T >= least
+                found = near.any(axis=1) & ~taken[at : at + 4096]
+                which = left[at : at + 4096][found]
+                centre[which] = node.points[left[chosen]][near[found].argmax(axis=1)]
+                taken[at : at + 4096] |= found
+            left = left[~taken]
+        return centre
+
+
+def _paired(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of ``a`` to its row of ``b``."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", x[a], x[b]), 0.0))
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
@@ -60,41 +112,60 @@ class Linker:
     """Counts, for each row, the weight of the rows linked with it, and joins them into sets."""
 
     def __init__(self, x: np.ndarray, weight: np.ndarray, cosine: float):
-        self.x, self.weight, self.cosine = x, weight.astype(np.int64), cosine
+        self.x, self.single, self.weight, self.cosine = x, x.astype(np.float32), weight.astype(np.int64), cosine
         self.reach = float(np.sqrt(2.0 - 2.0 * cosine))
         self.links = np.zeros(len(x), np.int64)
         self.parent = np.arange(len(x))
 
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
+    def tree(self, points: np.ndarray) -> CoverTree:
+        return CoverTree(self.x, points, self.reach, self.single)
 
-    def unite(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        """The smallest known row of the set of each row."""
+        root = self.parent[i]
+        while (up := self.parent[root]).tobytes() != root.tobytes():
+            root = up
+        self.parent[i] = root
+        return root
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the sets of each row of ``a`` and its row of ``b``: roots go below the least root that they meet, until all agree."""
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            apart = a != b
+            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            np.minimum.at(self.parent, a, b)
 
     def _all(self, p: np.ndarray, q: np.ndarray) -> None:
         """Every row of ``p`` is linked with every row of ``q``."""
         self.links[p] += self.weight[q].sum()
         self.links[q] += self.weight[p].sum()
-        for i in (*p.tolist(), *q.tolist()):
-            self.unite(int(p[0]), i)
-
-    def _compare(self, p: np.ndarray, q: np.ndarray | None) -> None:
-        hit = self.x[p] @ self.x[p if q is None else q].T >= self.cosine
-        if q is None:
-            np.fill_diagonal(hit, False)
-        other = p if q is None else q
-        self.links[p] += hit @ self.weight[other]
-        if q is not None:
-            self.links[q] += hit.T @ self.weight[p]
-        for i in np.flatnonzero(hit.any(axis=1)).tolist():
-            for j in np.flatnonzero(hit[i]).tolist():
-                self.unite(int(p[i]), int(other[j]))
+        every = np.concatenate([p, q])
+        self.unite(every, np.full(len(every), p[0]))
+
+    def _hits(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Link those of the pairs (a row of ``p`` and its row of ``q``) that reach the cosine."""
+        for at in range(0, len(p), AT_ONCE):
+            a, b = p[at : at + AT_ONCE], q[at : at + AT_ONCE]
+            hit = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.cosine
+            a, b = a[hit], b[hit]
+            np.add.at(self.links, a, self.weight[b])
+            np.add.at(self.links, b, self.weight[a])
+            self.unite(a, b)
+
+    def _compare(self, p: np.ndarray, q: np.ndarray, same: bool = False) -> None:
+        """All pairs of a row of ``p`` and one of ``q``, which are the same rows or have none in common."""
+        least = np.float32(self.cosine - ROUGH)
+        for at in range(0, len(p), ROWS):
+            for to in range(at if same else 0, len(q), COLUMNS):
+                rows, cols = p[at : at + ROWS], q[to : to + COLUMNS]
+                rough = self.single[rows] @ self.single[cols].T
+                if same or rough.max() >= least:
+                    i, j = np.divmod(np.flatnonzero(rough >= least), len(cols))
+                    if same:
+                        once = i + at < j + to
+                        i, j = i[once], j[once]
+                    self._hits(rows[i], cols[j])
 
     def within(self, tree: CoverTree) -> None:
         """All pairs of one tree."""
@@ -105,13 +176,12 @@ class Linker:
                 continue
             if 2 * n.radius + SLACK < self.reach:
                 self.links[n.points] += self.weight[n.points].sum() - self.weight[n.points]
-                for i in n.points[1:].tolist():
-                    self.unite(int(n.points[0]), i)
-            elif len(n.points) <= LEAF:
-                self._compare(n.points, None)
+                self.unite(n.points, np.full(len(n.points), n.points[0]))
+            elif len(n.points) <= LEAF or n.radius <= TINY:
+                self._compare(n.points, n.points, same=True)
             else:
                 parts = tree.split(n)
-                todo += parts
+                todo += [x for x in parts if len(x.points) > 1]
                 self._pairs(tree, parts, tree, parts, same=True)
 
     def between(self, a: CoverTree, b: CoverTree) -> None:
@@ -122,20 +192,73 @@ class Linker:
         todo = [(left, right, same)]
         while todo:
             left, right, same = todo.pop()
-            lr, rr = np.array([n.radius for n in left]), np.array([n.radius for n in right])
-            lc, rc = self.x[[n.centre for n in left]], self.x[[n.centre for n in right]]
-            for at in range(0, len(left), 1024):
-                d = distances(lc[at : at + 1024], rc)
-                near = d <= lr[at : at + 1024, None] + rr + self.reach + SLACK
+            l, r = Centres(left), Centres(right)
+            for i, j, d in self._near(l, r, same):
+                single = (l.n[i] == 1) & (r.n[j] == 1)
+                self._hits(l.centre[i[single]], r.centre[j[single]])
+                i, j, d = i[~single], j[~single], d[~single]
+                whole = d + l.radius[i] + r.radius[j] + SLACK < self.reach
+                leaf = (np.maximum(l.n[i], r.n[j]) <= LEAF) | (np.maximum(l.radius[i], r.radius[j]) <= TINY)
+                down = (l.n[i] > 1) & ((l.radius[i] >= r.radius[j]) | (r.n[j] == 1))
+                for p, qs in _grouped(i[whole], j[whole]):
+                    self._all(left[p].points, _points(right, qs))
+                for p, qs in _grouped(i[leaf & ~whole], j[leaf & ~whole]):
+                    self._compare(left[p].points, _points(right, qs))
+                rest = ~whole & ~leaf
+                for p, qs in _grouped(i[rest & down], j[rest & down]):
+                    todo.append((a.split(left[p]), [right[q] for q in qs], False))
+                for q, ps in _grouped(j[rest & ~down], i[rest & ~down]):
+                    todo.append(([left[p] for p in ps], b.split(right[q]), False))
+
+    def _near(self, left: Centres, right: Centres, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of nodes that linked rows may lie in, and the distances of their centres; with ``same`` each pair once.
+
+        Where even the largest radii of a block of pairs leave few of them, single precision
+        leaves out the others; small radii stand together, as children come by their radius.
+        """
+        for at in range(0, len(left.n), ROWS):
+            for to in range(at if same else 0, len(right.n), COLUMNS):
+                rows, cols = slice(at, at + ROWS), slice(to, to + COLUMNS)
+                a, b = left.centre[rows], right.centre[cols]
+                i = j = None
+                reach = left.radius[rows].max() + right.radius[cols].max() + self.reach + SLACK
+                if reach < 1.0:
+                    rough = self.single[a] @ self.single[b].T
+                    least = np.float32(1.0 - reach * reach / 2 - ROUGH)
+                    if rough.max() < least:
+                        continue
+                    i, j = np.divmod(np.flatnonzero(rough >= least), len(b))
+                if i is None or len(i) > len(a) * len(b) // 16:
+                    every = distances(self.x[a], self.x[b])
+                    i, j = np.nonzero(every <= left.radius[rows, None] + right.radius[cols] + self.reach + SLACK)
+                    d = every[i, j]
+                else:
+                    d = np.concatenate([_paired(self.x, a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]]) for k in range(0, len(i), AT_ONCE)])
+                    near = d <= left.radius[rows][i] + right.radius[cols][j] + self.reach + SLACK
+                    i, j, d = i[near], j[near], d[near]
+                i, j = i + at, j + to
                 if same:
-                    near &= np.arange(at, at + len(d))[:, None] < np.arange(len(right))
-                for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                    p, q = left[at + i], right[j]
-                    if d[i, j] + p.radius + q.radius + SLACK < self.reach:
-                        self._all(p.points, q.points)
-                    elif len(p.points) * len(q.points) <= LEAF * LEAF:
-                        self._compare(p.points, q.points)
-                    elif p.radius >= q.radius and len(p.points) > 1 or len(q.points) == 1:
-                        todo.append((a.split(p), [q], False))
-                    else:
-                        todo.append(([p], b.split(q), False))
+                    once = i < j
+                    i, j, d = i[once], j[once], d[once]
+                if len(i):
+                    yield i, j, d
+
+
+class Centres:
+    """Centres, radii and sizes of a list of nodes."""
+
+    def __init__(self, nodes: list[Node]):
+        self.centre, self.n = np.array([x.centre for x in nodes]), np.array([len(x.points) for x in nodes])
+        self.radius = np.array([x.radius for x in nodes])
+
+
+def _grouped(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """Each value of ``a`` with all that stand beside it in ``b``."""
+    order = np.argsort(a, kind="stable")
+    first = np.flatnonzero(np.diff(a[order], prepend=-1))
+    for x, some in zip(a[order][first].tolist(), np.split(b[order], first[1:]), strict=False):
+        yield x, some.tolist()
+
+
+def _points(nodes: list[Node], which: list[int]) -> np.ndarray:
+    return np.concatenate([nodes[i].points for i in which])

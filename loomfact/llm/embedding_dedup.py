@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, written
 from .components import connected_components
-from .covertree import SLACK, CoverTree, Linker, distances
+from .covertree import SLACK, Linker, distances
 
 COSINE = 0.93
 #: Rows of a block; a task holds two blocks.
@@ -191,12 +191,12 @@ def _links(placed: DataFrame, pivots: dict[str, np.ndarray], cosine: float, bloc
         linker = Linker(x, t.column("weight").to_numpy(), cosine)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if (side == 2).any():
-            linker.within(CoverTree(x, np.arange(len(x))))
+            linker.within(linker.tree(np.arange(len(x))))
         elif len(left) and len(right):
-            linker.between(CoverTree(x, left), CoverTree(x, right))
+            linker.between(linker.tree(left), linker.tree(right))
         hit = np.flatnonzero(linker.links)
-        root = np.array([linker.find(i) for i in hit.tolist()], np.int64)
-        return pa.table({"key": keys[hit], "n_links": linker.links[hit], "root": keys[root] if len(root) else keys[:0]})
+        root = linker.roots(hit)
+        return pa.table({"key": keys[hit], "n_links": linker.links[hit], "root": keys[root]})
 
     dealt = ready.mapInArrow(deal, "task string, side int, key long, weight long, embedding array<double>")
     return written(dealt.groupBy("task").applyInArrow(solve, "key long, n_links long, root long"), "vector-links")
