@@ -92,8 +92,13 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAS
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows and bytes allow it, else unchanged."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    """``df`` with a broadcast hint if its counted rows and bytes allow it, else with one for a shuffled join."""
+    return F.broadcast(df) if small_enough(df, rows) else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint for a shuffled join: a written table's files may be small enough for Spark to broadcast rows that are not."""
+    return df.hint("merge")
 
 
 def give_back() -> None:

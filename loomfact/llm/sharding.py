@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, shuffled, written
 
 LIMIT_BYTES = 1 << 20
 #: Bits of the hash of id and text, and of the place in the input.
@@ -62,11 +62,11 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         depths = depths.withColumn("prefix", F.expr("substring(base, 1, depth)"))
         sums = depths.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         fits = sums.where((F.col("b") <= limit) | (F.col("n") == 1)).select("depth", "prefix")
-        found = depths.select("base", "depth", "prefix").join(fits, ["depth", "prefix"])
+        found = depths.select("base", "depth", "prefix").join(shuffled(fits), ["depth", "prefix"])
         found = written(found.groupBy("base").agg(F.min("depth").alias("depth")), "directory")
         part = found.select(F.lit(base_depth).alias("base_depth"), "base", "depth")
         made = part if made is None else made.union(part)
-        left = base.join(found, "base", "left_anti").select("base")
+        left = base.join(shuffled(found), "base", "left_anti").select("base")
         if base_depth == deepest:  # rows that no bit tells apart share a shard, over the limit
             return made.union(left.select(F.lit(deepest).alias("base_depth"), "base", F.lit(deepest).alias("depth")))
         if not left.limit(1).count():
@@ -77,13 +77,16 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
 
 def _placed(rows: DataFrame, made: DataFrame, bits: str) -> DataFrame:
-    """``rows`` with __lf_depth and __lf_shard, the shard of their bits."""
+    """``rows`` with __lf_depth and __lf_shard, the shard of their bits.
+
+    The directory has 2 ** LOOK_AHEAD prefixes for each shard, so it is joined by a shuffle and never sent to the driver.
+    """
     depths = [r[0] for r in made.select("base_depth").distinct().collect()]
-    made = maybe_broadcast(written(made, "placed"))
+    made = written(made, "placed")
     out = None
     for d in depths or [0]:  # one round of the directory each, nearly always one
         own = made.where(F.col("base_depth") == d).select(F.col("base").alias("__lf_base"), F.col("depth").alias("__lf_depth"))
-        hit = rows.join(own, F.substring(bits, 1, d) == F.col("__lf_base")).drop("__lf_base")
+        hit = rows.join(shuffled(own), F.substring(bits, 1, d) == F.col("__lf_base")).drop("__lf_base")
         out = hit if out is None else out.union(hit)
     return out.withColumn("__lf_shard", F.expr(f"substring({bits}, 1, __lf_depth)"))
 
