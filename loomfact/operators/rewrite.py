@@ -71,8 +71,12 @@ def _person(name: Column) -> Column:
     return F.struct(name.alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("appearance"), F.array().cast("array<string>").alias("places")).cast(CHARACTER)
 
 
-def _merged(characters: Column | str, name_of: Callable[[Column], Column], more: Callable[[Column, Column], Column] | None = None) -> Column:
-    """One element for each name (by ``name_of`` an element), in order: fields of equal names united, the first appearance."""
+def _merged(characters: Column | str, name_of: Callable[[Column], Column], more: Callable[[Column, Column], Column] | None = None, plain: Column | None = None) -> Column:
+    """One element for each name (by ``name_of`` an element), in order: fields of equal names united, the first appearance.
+
+    Most chapters have no two equal names; their elements are taken as they are, without a search for each name.
+    (``plain`` tells that ``name_of`` is each element's own name, if it is not always.)
+    """
 
     def one(name: Column) -> Column:
         own = F.filter(characters, lambda c: name_of(c) == name)
@@ -81,7 +85,13 @@ def _merged(characters: Column | str, name_of: Callable[[Column], Column], more:
         looks = F.filter(F.transform(own, lambda c: c["appearance"]), lambda a: a != "")
         return F.struct(name.alias("name"), F.filter(aliases, lambda a: a != name).alias("aliases") if more else aliases.alias("aliases"), F.coalesce(F.get(looks, F.lit(0)), F.lit("")).alias("appearance"), F.array_distinct(F.flatten(F.transform(own, lambda c: c["places"]))).alias("places")).cast(CHARACTER)
 
-    return F.transform(F.array_distinct(F.transform(characters, name_of)), one)
+    def alone(c: Column) -> Column:
+        aliases = F.array_distinct(c["aliases"])
+        return F.struct(c["name"].alias("name"), F.filter(aliases, lambda a: a != c["name"]).alias("aliases") if more else aliases.alias("aliases"), c["appearance"].alias("appearance"), F.array_distinct(c["places"]).alias("places")).cast(CHARACTER)
+
+    names = F.transform(characters, name_of)
+    once = (F.size(F.array_distinct(names)) == F.size(names)) & (F.lit(True) if plain is None else plain)
+    return F.when(once, F.transform(characters, alone)).otherwise(F.transform(F.array_distinct(names), one))
 
 
 def _map() -> Column:
@@ -126,7 +136,9 @@ def _characters(checks: Checks) -> list[Callable[[DataFrame], DataFrame]]:
         d = d.withColumn("__m", ends)
         #  Keepers come first in their groups, so their own fields lead.
         by = F.concat(F.filter("characters", lambda c: F.try_element_at(F.col("__m"), c["name"]).isNull()), F.filter("characters", lambda c: F.try_element_at(F.col("__m"), c["name"]).isNotNull()))
-        d = d.withColumn("characters", by).withColumn("characters", _merged("characters", lambda c: _get(F.col("__m"), c["name"]), lambda aliases, gone: F.array_distinct(F.concat(aliases, gone))))
+        no_link = F.size("__p") == 0
+        d = d.withColumn("characters", F.when(no_link, F.col("characters")).otherwise(by))
+        d = d.withColumn("characters", _merged("characters", lambda c: _get(F.col("__m"), c["name"]), lambda aliases, gone: F.array_distinct(F.concat(aliases, gone)), no_link))
         return d.drop("__p", "__m")
 
     def clean(d: DataFrame) -> DataFrame:
@@ -184,7 +196,7 @@ def _others(checks: Checks) -> list[Callable[[DataFrame], DataFrame]]:
 
     def participants(d: DataFrame) -> DataFrame:
         """Events without participants take the names and aliases that their summary holds, longer ones first, places' names not."""
-        sized = lambda names: F.transform(F.array_sort(F.transform(names, lambda n: F.struct((-F.char_length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
+        sized = lambda names: F.transform(F.sort_array(F.transform(names, lambda n: F.struct((-F.char_length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
         behind = lambda text, n: F.substring(text, F.instr(text, n) + F.char_length(n), F.lit(1))
         named = lambda text: F.filter("__k", lambda n: F.contains(text, n) & ~behind(text, n).rlike(f"[{PLACE_LETTERS}]"))
         known = F.filter(_names("characters", "name", "aliases"), lambda n: n != "")
@@ -192,7 +204,7 @@ def _others(checks: Checks) -> list[Callable[[DataFrame], DataFrame]]:
 
     def places_of_events(d: DataFrame) -> DataFrame:
         """Events without a place take the longest that their summary names."""
-        sized = F.transform(F.array_sort(F.transform(_names("locations", "name"), lambda n: F.struct((-F.char_length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
+        sized = F.transform(F.sort_array(F.transform(_names("locations", "name"), lambda n: F.struct((-F.char_length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
         first = lambda text: F.coalesce(F.get(F.filter("__k", lambda n: F.contains(text, n)), F.lit(0)), F.lit(""))
         return d.withColumn("__k", sized).withColumn("events", F.transform("events", lambda e: e.withField("location", F.when(e["location"] == "", first(e["summary"])).otherwise(e["location"])))).drop("__k")
 
