@@ -12,16 +12,18 @@ Null and empty names are passed over; a null text holds no name.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 #: Bytes of the names of one automaton, and found rows of a batch.
 SHARD_BYTES = 8 << 20
@@ -48,7 +50,8 @@ def _shards(names: DataFrame) -> list[list[str]]:
         return []
     n = -(-size // SHARD_BYTES)
     shard = F.pmod(F.xxhash64("name"), F.lit(n))
-    return [[r[0] for r in own.where(shard == k).collect()] for k in range(n)]  # at most about SHARD_BYTES each
+    lists = ([r[0] for r in own.where(shard == k).collect()] for k in range(n))  # at most about SHARD_BYTES each
+    return [names for names in lists if names]
 
 
 def _scan(docs: DataFrame, key: str, text: str, names: DataFrame, places: bool) -> DataFrame:
@@ -101,29 +104,81 @@ def contained(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return _scan(docs, key, text, names, False)
 
 
+def _tops(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """key, __text and __top of each text: places (from 0) of names in order and the longest one's end at each, as pairs of 32 bits.
+
+    There is one pass for each shard of names, in which a row's places are merged with those that it brings: nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    out = docs.select(F.col(key), F.col(text).cast("string").alias("__text"), F.lit(b"").alias("__top"))
+    for shard in _shards(names):
+        token, held = uuid.uuid4().hex, spark.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], token: str = token, held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            found = _automaton(token, held)
+            for b in batches:
+                tops = []
+                for t, before in zip(b.column(1), b.column(2), strict=True):
+                    #  Ends come in order, so the last name from a place is its longest.
+                    ends = {end - len(name) + 1: end + 1 for end, name in found.iter(t.as_py() or "")}
+                    for at, end in np.frombuffer(before.as_py(), np.int32).reshape(-1, 2).tolist():
+                        ends[at] = max(end, ends.get(at, 0))
+                    tops.append(np.array(sorted(ends.items()), np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tops, pa.binary())], names=b.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
+def _kept(top: bytes) -> Iterator[tuple[int, int]]:
+    """Place and end of the names that do not overlap, from the left."""
+    last = 0
+    for at, end in np.frombuffer(top, np.int32).reshape(-1, 2).tolist():
+        if at >= last:
+            last = end
+            yield at, end
+
+
 def longest(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, name and at of occurrences that do not overlap: from the left, the longest name at each place.
 
-    ``key`` is unique. Of a text's occurrences the longest at each place are combined
-    before the shuffle; a text's places are then read in order, and those behind the last
-    one's end kept, so the work is in proportion to the occurrences.
+    All is found within a row, so nothing is shuffled, and keys need not be unique.
+    """
+    found = _tops(docs, key, text, names)
+    schema = StructType([found.schema[key]]).add("name", "string").add("at", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (t, top) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                t, kept = t.as_py(), list(_kept(top.as_py()))
+                for k in range(0, len(kept), BATCH):
+                    part = kept[k : k + BATCH]
+                    own = b.column(0).take(pa.array([i] * len(part), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, pa.array([t[x:y] for x, y in part], pa.string()), pa.array([x for x, _ in part], pa.int64())], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def longest_counts(names: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, name and n, how often each name stands in the key's texts as in :func:`longest`.
+
+    They are counted within a row; what is shuffled is one row for each text, its names in an array.
     """
-    found = occurrences(names, docs, key, text)
-    top = found.groupBy(key, "at").agg(F.max_by("name", F.char_length("name")).alias("name")).select(key, "name", "at")
+    found = _tops(docs, key, text, names)
+    schema = StructType([found.schema[key]]).add("name", ArrayType(StringType())).add("n", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, end = object(), 0
         for b in batches:
-            kept = []
-            for i, (k, name, at) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                if k != now:
-                    now, end = k, 0
-                if at >= end:
-                    end = at + len(name)
-                    kept.append(i)
-            yield b.take(pa.array(kept, pa.int64()))
-
-    return top.repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, top.schema)
+            names, n = [], []
+            for t, top in zip(b.column(1), b.column(2), strict=True):
+                t = t.as_py()
+                own = Counter(t[x:y] for x, y in _kept(top.as_py()))
+                names.append(list(own)), n.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.string())), pa.array(n, pa.list_(pa.int64()))], names=schema.names)
+
+    rows = found.mapInArrow(run, schema).where(F.size("name") > 0).repartition(key)
+    each = rows.select(key, F.explode(F.arrays_zip("name", "n")).alias("x")).select(key, "x.name", "x.n")
+    return each.groupBy(key, "name").agg(F.sum("n").alias("n"))
 
 
 def ungrounded(entities: DataFrame, docs: DataFrame, text: str, novel: str | None = None, least: int = 2) -> DataFrame:

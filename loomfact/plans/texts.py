@@ -156,7 +156,7 @@ def _words(t: Tables) -> DataFrame:
 @query("longest_names", f"WITH {_WORDS}, p AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS pattern FROM w), h AS (SELECT doc_id, unnest(regexp_extract_all(text, pattern)) AS name FROM documents, p) SELECT doc_id, name, count(*) AS n FROM h GROUP BY ALL")
 def longest_names(t: Tables) -> DataFrame:
     """How often each name stands in a document, none inside or across another."""
-    return search.longest(_words(t), t.documents, "doc_id", "text").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    return search.longest_counts(_words(t), t.documents, "doc_id", "text")
 
 
 @query(
